@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +31,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_bytes(texts: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text of an Arrow column; null is empty."""
+    raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+    return (x.as_py() or b"" for x in raw)
+
+
+def annotate(df: DataFrame, text: str, keep: list[str], fields: str, scorer: Callable[[], Callable[[list[bytes]], dict[str, list]]], where: Callable[[dict[str, list]], list[bool]] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` and ``fields``, worked out from the whole texts batch by batch, without a shuffle.
+
+    ``scorer()`` is called once a task and gives a function from texts to columns; with ``where`` only its true rows stay.
+    """
+    slim = df.select(text, *keep)
+    schema = StructType([slim.schema[c] for c in keep] + StructType.fromDDL(fields).fields) if fields else StructType([slim.schema[c] for c in keep])
+    extra = to_arrow_schema(StructType.fromDDL(fields)) if fields else []
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            columns = score(list(in_bytes(batch.column(0))))
+            out = pa.RecordBatch.from_arrays([batch.column(i + 1) for i in range(len(keep))] + [pa.array(columns[f.name], f.type) for f in extra], names=keep + [f.name for f in extra])
+            yield out.filter(pa.array(where(columns), pa.bool_())) if where else out
+
+    return slim.mapInArrow(of, schema)
+
+
+def labelled_sample(labels: DataFrame, label: str, caps: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y): at most ``caps[y]`` rows of each label that are not held out, chosen by a hash of the id, and how many rows
+    of each label there are in all. Repeated ids count once, with the label most of their rows have (1 if equal)."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*caps)).where(~held_out(F.col("doc_id")))
+    once = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    counts = {r.y: r.n for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [once.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in caps.items()]
+    return reduce(DataFrame.unionByName, parts), {y: counts.get(y, 0) for y in caps}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -35,6 +75,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 

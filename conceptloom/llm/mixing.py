@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import documents, materialise, ranked
+from conceptloom.llm.common import bind, documents, materialise, ranked
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Distinct sizes of a source, from the smallest, that carry remainders one by one; larger sizes are rounded by running sums.
@@ -117,8 +117,7 @@ def copies_by_size(classes: DataFrame, rates: DataFrame, most: int) -> DataFrame
     def take(acc: Column, c: Column) -> Column:
         want = c["_ideal"] * c["_size"] + acc["carry"]
         m = F.least(F.greatest(F.round(want / c["_size"]).cast("long"), F.lit(0).cast("long")), c["_n"] * most)
-        # a one-element array binds m, so that it is worked out once
-        return F.get(F.transform(F.array(m), lambda k: F.struct((want - k * c["_size"]).alias("carry"), F.concat(acc["ms"], F.array(k)).alias("ms"))), F.lit(0))
+        return bind(m, lambda k: F.struct((want - k * c["_size"]).alias("carry"), F.concat(acc["ms"], F.array(k)).alias("ms")))
 
     folded = folded.withColumn("_ms", F.aggregate("_classes", zero, take, lambda acc: acc["ms"]))
     pairs = folded.select("_source", F.inline(F.arrays_zip(F.col("_classes").alias("c"), F.col("_ms").alias("m"))))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import documents, materialise
+from conceptloom.llm.common import bind, documents, materialise
 
 MODULUS = (1 << 62) - 1  # as a mask
 EXACT, SPREAD = 4, 21
@@ -33,11 +33,6 @@ def _sum(values: Column, of) -> Column:
     return F.aggregate(values, _long(0), lambda a, v: (a + of(v)).bitwiseAND(_long(MODULUS)))
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value) with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def text_vector(text: Column) -> Column:
     """array<long>: EXACT lanes, SPREAD lanes, and the number of sentences."""
     paragraphs = F.split(text, "\n")
@@ -46,7 +41,7 @@ def text_vector(text: Column) -> Column:
     spread = lambda hs: F.transform(
         F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.aggregate(hs, _long(0), lambda a, h: (a + F.call_function("shiftright", h, k).bitwiseAND(_long(SPREAD_MASK))).bitwiseAND(_long(MODULUS)))
     )
-    return F.concat(F.array(*exact), _bind(sentences, lambda hs: F.concat(spread(hs), F.array(F.size(hs).cast("long")))))
+    return F.concat(F.array(*exact), bind(sentences, lambda hs: F.concat(spread(hs), F.array(F.size(hs).cast("long")))))
 
 
 def _sum_of_seed(paragraphs: Column, seed: int) -> Column:
@@ -76,7 +71,7 @@ def _centred(vector: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the cosine of the centred counters, at least 0; 1 if the vectors are equal."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    cosine = _bind(F.struct(_centred(a).alias("a"), _centred(b).alias("b")), lambda c: F.try_divide(dot(c["a"], c["b"]), F.sqrt(dot(c["a"], c["a"]) * dot(c["b"], c["b"]))))
+    cosine = bind(F.struct(_centred(a).alias("a"), _centred(b).alias("b")), lambda c: F.try_divide(dot(c["a"], c["b"]), F.sqrt(dot(c["a"], c["a"]) * dot(c["b"], c["b"]))))
     return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
