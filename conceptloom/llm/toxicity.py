@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Words whose presence tells the labels apart beyond chance make up the vocabulary; their inverse document frequencies are counted over all
-documents. Labelled examples are held in an inverted index whose postings are cut into blocks of examples with the largest weight of each
+Words, and their first four and five bytes (stems), whose presence tells the labels apart beyond chance make up the vocabulary; their
+inverse document frequencies are counted over all documents. Labelled examples are held in an inverted index whose postings are cut into blocks of examples with the largest weight of each
 word in each block. For a document the sums of these bounds are visited from the largest, and blocks that cannot reach the k-th best
-cosine are skipped, so neighbours are exact. Votes are weighted by the squared cosine and calibrated on the examples themselves, each
+cosine are skipped, so neighbours are exact. Votes are weighted by the squared cosine, with a small weight on the share of toxic labels
+so that distant neighbours decide little, and calibrated on the examples themselves, each
 scored without itself, weighted back to the label counts of all training rows.
 
 The index is fitted on at most ``EXAMPLES`` labelled documents of each label and ``VOCABULARY`` words (a bound on what is broadcast);
@@ -17,6 +18,7 @@ labels (0 without labels); repeated rows get equal scores; an empty table gives
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +32,30 @@ EXAMPLES = {0: 4000, 1: 3000}
 VOCABULARY, BLOCK, NEIGHBOURS = 1024, 64, 15
 #: A word needs this log-likelihood ratio (chance: about 1) and this ratio of odds, either way.
 EVIDENCE, ODDS = 20.0, 4.0
+#: It must also stand in this share of the different examples of one label, so that words of a few copied texts do not count.
+LEAST_SHARE = 0.02
+PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
 
 Vector = tuple[np.ndarray, np.ndarray]  # words as positions in the vocabulary, and their weights
 
 
+def terms_of(words: Iterable[bytes]) -> set[bytes]:
+    """The words and their stems."""
+    distinct = set(words)
+    return distinct.union([w[:4] for w in distinct], [w[:5] for w in distinct])
+
+
+def term_counts(words: list[bytes], known: frozenset[bytes] | set[bytes] | None = None) -> Counter[bytes]:
+    """How many words each term is or begins."""
+    out: Counter[bytes] = Counter()
+    for w, n in Counter(words).items():
+        for t in {w, w[:4], w[:5]}:
+            if known is None or t in known:
+                out[t] += n
+    return out
+
+
 class BlockMaxIndex:
     """Postings by word over examples of unit length, in blocks of BLOCK examples."""
 
@@ -86,6 +107,7 @@ class ToxicityModel:
     labels: np.ndarray
     ids: list[int]
     alone: float = 0.0  # score without any neighbour
+    share: float = 0.0  # of toxic labels
     votes: np.ndarray | None = None  # calibration: votes and their scores, both rising
     scores: np.ndarray | None = None
 
@@ -97,17 +119,15 @@ class ToxicityModel:
 
     def counts(self, text: bytes) -> dict[int, int]:
         words = words_of(text)
-        known = self.words.keys() & words
-        if not known:
-            return {}
-        return dict(Counter(self.words[w] for w in words if w in known))
+        known = self.words.keys() & terms_of(words)
+        return {self.words[t]: n for t, n in term_counts(words, known).items()} if known else {}
 
     def vote(self, query: Vector, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         ids, cosines = self.index.nearest(query, NEIGHBOURS, without)
         if not len(ids):
             return None, ids, cosines
         weight = cosines**2
-        return float(weight @ self.labels[ids] / weight.sum()), ids, cosines
+        return float((weight @ self.labels[ids] + PRIOR_WEIGHT * self.share) / (weight.sum() + PRIOR_WEIGHT)), ids, cosines
 
     def score(self, text: bytes) -> tuple[float, list[int], list[float]]:
         """Score, and the ids and cosines of the nearest examples."""
@@ -136,9 +156,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most the sum of EXAMPLES ids
 
     def tally(texts: list[bytes]) -> dict[str, list]:
-        counts = [Counter(words_of(t)) for t in texts]
+        counts = [term_counts(words_of(t)) for t in texts]
         return {"words": [list(c) for c in counts], "times": [list(c.values()) for c in counts]}
 
+    chosen = chosen.dropDuplicates(["text"])
     rows = materialise(annotate(chosen, "text", ["doc_id", "y"], "words array<binary>, times array<int>", lambda: tally), "toxic-examples")
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -153,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n = n1 + n0
     ratio = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
     odds = (a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))
-    telling = by_word.withColumn("g", ratio).where((F.col("g") >= EVIDENCE) & ((odds >= ODDS) | (odds <= 1 / ODDS)))
+    telling = by_word.withColumn("g", ratio).where((F.col("g") >= EVIDENCE) & ((odds >= ODDS) | (odds <= 1 / ODDS)) & ((a >= LEAST_SHARE * n1) | (b >= LEAST_SHARE * n0)))
     words = sorted(bytes(r.word) for r in telling.orderBy(F.desc("g"), "word").limit(VOCABULARY).collect())
     place = {w: i for i, w in enumerate(words)}
 
@@ -180,7 +201,7 @@ def _document_frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[np.
         for batch in batches:
             rows += batch.num_rows
             for text in in_bytes(batch.column(0)):
-                total.update(place.keys() & words_of(text))
+                total.update(place.keys() & terms_of(words_of(text)))
         total[b""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
@@ -191,11 +212,12 @@ def _document_frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[np.
 
 def _index(model: ToxicityModel, examples: list[tuple], totals: dict[int, int]) -> None:
     """Index the examples that have a word of the vocabulary, alike ones side by side, and calibrate."""
+    model.share = totals[1] / max(1, sum(totals.values()))
     weight = {y: totals[y] / max(1, sum(e[1] == y for e in examples)) for y in totals}
     bare = [e for e in examples if not len(e[2][0])]
     held = sorted((e for e in examples if len(e[2][0])), key=lambda e: (e[1], int(e[2][0][np.argmax(e[2][1])]), e[0]))
     toxic, all_bare = sum(weight[1] for e in bare if e[1]), sum(weight[e[1]] for e in bare)
-    model.alone = (toxic + 0.05) / (all_bare + 0.5) if all_bare else totals[1] / max(1, sum(totals.values()))
+    model.alone = (toxic + 0.05) / (all_bare + 0.5) if all_bare else model.share
     if not held:
         return
     model.index = BlockMaxIndex([e[2] for e in held], len(model.words))
