@@ -7,6 +7,7 @@ from conceptloom.llm.hilbert import op1_hilbert_shards
 from conceptloom.llm.licenses import op9_license_join
 from conceptloom.llm.mixing import op6_entropy_mix
 from conceptloom.llm.multiset import op10_multiset_fingerprints
+from conceptloom.llm.packing import op3_lexical_packing
 from conceptloom.llm.quality import op4_pairwise_quality
 from conceptloom.llm.simhash import op5_simhash_balls
 from conceptloom.llm.telephony import op8_telephony_audio
@@ -15,7 +16,7 @@ from conceptloom.llm.toxicity import op2_toxic_neighbours
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_hilbert_shards, op2_toxic_neighbours, op4_pairwise_quality, op5_simhash_balls, op6_entropy_mix, op7_chat_events, op8_telephony_audio,
+        op1_hilbert_shards, op2_toxic_neighbours, op3_lexical_packing, op4_pairwise_quality, op5_simhash_balls, op6_entropy_mix, op7_chat_events, op8_telephony_audio,
         op9_license_join, op10_multiset_fingerprints,
     )
 }
