@@ -145,7 +145,25 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", cycle: tuple[int, ...]
     )
 
 
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def repeat_copies(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text, source and others) as often as the mix takes it; documents without words stay once.
+
+    Copies are worked out on (row hash, source, size) and joined back to the rows by the hash of all their columns, so texts are
+    shuffled once. Rows equal in every column share out what the mix takes of all of them.
+    """
+    row = docs.withColumn("_row", F.xxhash64(*docs.columns)).withColumn("_words", word_count("text"))
+    mixed = entropy_mix(row.select("_row", "source", F.col("_words").alias("size")), "_row").groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    numbered = row.withColumn("_at", F.row_number().over(Window.partitionBy("_row").orderBy("_words")))
+    share = F.expr("_copies div _rows + if(_at <= _copies % _rows, 1, 0)")
+    times = F.when(F.col("_words") == 0, F.lit(1).cast("long")).otherwise(share)
+    return numbered.join(mixed, "_row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_i")).drop("_i")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3, repeating over the sources in order."""
-    slim = documents(spark, sf_dir).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    slim = documents(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))
     return entropy_mix(slim).select("doc_id", "size", "source_size", "target", "taken", "copies")

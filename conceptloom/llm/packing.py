@@ -7,8 +7,7 @@ the seed of a window, its unused neighbours by BM25 follow, and the one that rea
 seed. When no neighbour is left the next unused document follows. A window that is open at the end of a shard goes on into the next
 one, so padding is at most one window a task.
 
-The tokenizer file's path is a parameter. Text is cut at white space exactly where the tokenizer's own pattern cuts, and pieces are
-kept in a bounded table, as most repeat.
+The tokenizer file's path is a parameter. Very long texts are cut at white space, exactly where the tokenizer's own pattern cuts.
 
 Edge cases: null and empty texts have only the end token; equal documents score alike and follow in their order; repeated rows are
 packed on their own; documents longer than any window fill several; an empty table gives an empty result; extra columns are
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from conceptloom.llm.common import documents, in_bytes, materialise
 
 WINDOW, END_ID = 2048, 1
-#: Tokens of a shard (one index) and of a task, and pieces that a task keeps.
-SHARD_TOKENS, TASK_TOKENS, KEPT_PIECES = 1 << 20, 1 << 23, 300_000
+#: Tokens of a shard (one index) and of a task, and characters that are encoded at once.
+SHARD_TOKENS, TASK_TOKENS, PART = 1 << 20, 1 << 23, 1 << 18
 #: Words of a seed that are looked up, the rarest first.
 QUERY_WORDS = 24
 K1, B = 1.2, 0.75
@@ -58,8 +57,8 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class PieceEncoder(dict):
-    """Pieces of text to their ids as little-endian 16-bit bytes; forgets all when it holds KEPT_PIECES."""
+class Encoder:
+    """Texts to ids of a byte-level vocabulary file, as 16-bit numbers, with the end id. Very long texts are encoded in parts."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -70,18 +69,28 @@ class PieceEncoder(dict):
         ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("more ids than 16 bits hold")
-        self.encode_piece = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        out = np.array(self.encode_piece(piece), "<u2").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        self.encode = tiktoken.Encoding("bytes", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(text))) + END_ID.to_bytes(2, "little"), "<u2")
+        ids = []
+        for part in _parts(text):
+            ids += self.encode(part)
+        ids.append(END_ID)
+        return np.array(ids, "<u2")
+
+
+def _parts(text: str) -> Iterator[str]:
+    if len(text) <= PART:
+        yield text
+        return
+    held, size = [], 0
+    for m in _PIECE.finditer(text):
+        held.append(m[0])
+        size += len(m[0])
+        if size >= PART:
+            yield "".join(held)
+            held, size = [], 0
+    yield "".join(held)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -97,7 +106,7 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, sequence = PieceEncoder(tokenizer), TaskContext.get().partitionId() << 34
+        encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 34
         for batch in batches:
             rows, owner = [], []
             for i, raw in enumerate(in_bytes(batch.column(1))):
