@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import documents, materialise, power_of_two, ranked
+from conceptloom.llm.common import bind, documents, materialise, power_of_two, ranked
 
 #: Rows per sub-group of a curve cell when positions are counted.
 ROWS_PER_SALT = 100_000
@@ -55,19 +55,21 @@ def hilbert_index(bins: Column, dims: int, bits: int) -> Column:
         return F.array(*[F.struct(F.lit(b).cast("long").alias("bit"), F.lit(a).alias("axis")) for b, a in steps])
 
     high_to_low = [1 << b for b in range(bits - 1, 0, -1)]
-    xs = F.aggregate(packed([(b, a) for b in high_to_low for a in range(dims)]), bins, undo) if bits > 1 else bins
-    # Gray code: running xor along the axes, then the parity of the last axis folded into all of them.
-    xs = F.transform(xs, lambda _, j: F.aggregate(F.slice(xs, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
-    last = at(xs, dims - 1)
-    parity = reduce(lambda a, b: a.bitwiseXOR(b), [F.when(last.bitwiseAND(b) != 0, F.lit(b - 1)).otherwise(F.lit(0)).cast("long") for b in high_to_low], F.lit(0).cast("long"))
-    turned = F.transform(xs, lambda x: x.bitwiseXOR(parity))
-    each_bit = packed([(1 << b, a) for b in range(bits - 1, -1, -1) for a in range(dims)])
-    return F.aggregate(
-        each_bit,
-        F.struct(F.lit(0).cast("long").alias("v"), turned.alias("xs")),
-        lambda acc, s: F.struct((acc["v"] * 2 + F.when(at(acc["xs"], s["axis"]).bitwiseAND(s["bit"]) != 0, 1).otherwise(0)).alias("v"), acc["xs"].alias("xs")),
-        lambda acc: acc["v"],
-    )
+    undone = F.aggregate(packed([(b, a) for b in high_to_low for a in range(dims)]), bins, undo) if bits > 1 else bins
+
+    def gray(xs: Column) -> Column:
+        return F.transform(xs, lambda _, j: F.aggregate(F.slice(xs, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+
+    def parity(xs: Column) -> Column:
+        last = at(xs, dims - 1)
+        return reduce(Column.bitwiseXOR, [F.when(last.bitwiseAND(b) != 0, F.lit(b - 1)).otherwise(F.lit(0)).cast("long") for b in high_to_low], F.lit(0).cast("long"))
+
+    def interleave(xs: Column) -> Column:
+        each_bit = packed([(1 << b, a) for b in range(bits - 1, -1, -1) for a in range(dims)])
+        return F.aggregate(each_bit, F.lit(0).cast("long"), lambda v, s: v * 2 + F.when(at(xs, s["axis"]).bitwiseAND(s["bit"]) != 0, 1).otherwise(0))
+
+    turned = bind(bind(undone, gray), lambda xs: bind(parity(xs), lambda p: F.transform(xs, lambda x: x.bitwiseXOR(p))))
+    return bind(turned, interleave)
 
 
 def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards: int, bits: int = 4) -> DataFrame:
@@ -86,7 +88,8 @@ def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards:
             return F.lit(0).cast("long")
         return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in at]), lambda b: b < F.coalesce(F.col(name), b))).cast("long")
 
-    celled = table.withColumn("hilbert", hilbert_index(F.array(*[bin_of(n, b) for n, b in zip(names, bounds, strict=True)]), len(dims), bits)).drop(*names)
+    index = hilbert_index(F.array(*[bin_of(n, b) for n, b in zip(names, bounds, strict=True)]), len(dims), bits)
+    celled = materialise(table.withColumn("hilbert", index).drop(*names), "hilbert-cells")
     cells = celled.groupBy("hilbert").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**(bits * dims) rows
     starts = cells.select("hilbert", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
