@@ -96,17 +96,24 @@ def next_of(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to the vectors of each text, its edited text and the next document's text, and the edited text."""
+    """(doc_id, text) to the vectors of each text, its edited text and the next document's text, and the edited text.
+
+    Texts are shuffled once by the document's key; only the heads that the document before needs are shuffled again.
+    """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     ring = materialise(next_of(base.select("doc_id", "th", F.length("text").alias("n")).distinct()), "ring-next")
-    rows = base.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("th")))
-    before = ring.select(F.col("next_id").alias("b_id"), F.col("next_th").alias("b_th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    sent = rows.where("_copy = 1").join(before, same("doc_id", "b_id") & (F.col("th") == F.col("b_th"))).select("to_id", "to_th", F.expr("substring(text, 1, need)").alias("head"), text_vector(F.col("text")).alias("next_vector"))
-    both = rows.join(sent, same("doc_id", "to_id") & (F.col("th") == F.col("to_th")))
-    n = F.length("text")
+    key = ["_id", "_none", "_th"]  # no nulls, so that the window and both joins share a partitioning
+
+    def keyed(doc_id: str, th: str) -> list[Column]:
+        return [F.coalesce(doc_id, F.lit(0).cast(dict(docs.dtypes)["doc_id"])).alias("_id"), F.col(doc_id).isNull().alias("_none"), F.col(th).alias("_th")]
+
+    rows = base.select("doc_id", "text", *keyed("doc_id", "th")).withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_th")))
+    before = ring.select(*keyed("next_id", "next_th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    # greatest() keeps the planner from limiting rows before the exchange, which would then not be shared
+    sent = rows.where(F.greatest("_copy", F.lit(1)) == 1).join(before, key).select(*keyed("to_id", "to_th"), F.expr("substring(text, 1, need)").alias("head"), text_vector(F.col("text")).alias("next_vector"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.col("head"))
-    return both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), text_vector(F.col("text")).alias("vector"), "next_vector").withColumn("edited_vector", text_vector(F.col("edited")))
+    both = rows.join(sent, key).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), text_vector(F.col("text")).alias("vector"), "next_vector")
+    return both.withColumn("edited_vector", text_vector(F.col("edited")))
 
 
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
