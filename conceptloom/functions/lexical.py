@@ -24,7 +24,7 @@ def jaro_of(a: str, b: str) -> float:
     m = len(kept)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(kept, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    moved = sum(x != y for x, y in zip(kept, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
@@ -49,15 +49,24 @@ def partial_ratio_of(a: str, b: str) -> float:
     return round(100 * best) / 100
 
 
-def _by_rows(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+def _by_rows(score: Callable[[str, str], float], a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return scored
+    return scored(a, b)
 
 
-jaro, jaro_winkler, partial_ratio = _by_rows(jaro_of), _by_rows(jaro_winkler_of), _by_rows(partial_ratio_of)
+def jaro(a: Column, b: Column) -> Column:
+    return _by_rows(jaro_of, a, b)
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    return _by_rows(jaro_winkler_of, a, b)
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    return _by_rows(partial_ratio_of, a, b)
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -43,11 +43,25 @@ def _solve(cells: DataFrame, fixed: DataFrame, dimensions: int, ridge: float) ->
     """Cells (id, other, f, y) and vectors (id, v) of the other side, laid out as [vector, own bias], to this side's."""
     width = dimensions + 1
 
-    def normal(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(part["v"].to_numpy())
-        x = np.hstack([v[:, :dimensions], np.ones((len(v), 1))])
-        w, y = part["f"].to_numpy(), part["y"].to_numpy() - v[:, dimensions]
-        return pd.DataFrame({"id": [key[0]], "a": [((x * w[:, None]).T @ x).ravel()], "b": [x.T @ (w * y)]})
+    def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word, a, b = None, None, None  # rows come sorted by word, so one sum is open at a time
+        for rows in batches:
+            v = np.stack(rows["v"].to_numpy())
+            x = np.hstack([v[:, :dimensions], np.ones((len(v), 1))])
+            w, y, ids = rows["f"].to_numpy(), rows["y"].to_numpy() - v[:, dimensions], rows["id"].to_numpy()
+            done = []
+            cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                if ids[i] != word:
+                    if word is not None:
+                        done.append((word, a.ravel(), b))
+                    word, a, b = ids[i], np.zeros((width, width)), np.zeros(width)
+                a = a + (x[i:j] * w[i:j, None]).T @ x[i:j]
+                b = b + x[i:j].T @ (w[i:j] * y[i:j])
+            if done:
+                yield pd.DataFrame(done, columns=["id", "a", "b"])
+        if word is not None:
+            yield pd.DataFrame([(word, a.ravel(), b)], columns=["id", "a", "b"])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -55,7 +69,7 @@ def _solve(cells: DataFrame, fixed: DataFrame, dimensions: int, ridge: float) ->
             yield pd.DataFrame({"id": rows["id"], "v": done})
 
     joined = cells.join(fixed.select(F.col("id").alias("other"), "v"), "other").withColumn("_salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
-    parts = joined.select("id", "_salt", "f", "y", "v").groupBy("id", "_salt").applyInPandas(normal, "id long, a array<double>, b array<double>")
+    parts = joined.repartition("id", "_salt").sortWithinPartitions("id").select("id", "f", "y", "v").mapInPandas(normal, "id long, a array<double>, b array<double>")
     add = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.aggregate(F.col(c), F.lit(0.0), lambda s, p: s + F.get(p, k)))
     sums = parts.groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).select("id", add("a", width * width).alias("a"), add("b", width).alias("b"))
     return sums.mapInPandas(solve, "id long, v array<double>")
