@@ -72,14 +72,14 @@ def format_conversations(events: DataFrame, learn_from: tuple[str, ...] = ("assi
     sorted_log = (
         log.withColumn("slot", slot).withColumn("rank", rank).where(is_message | F.col("slot").isNotNull())
         .repartition("conv_id").sortWithinPartitions("conv_id", "slot", F.col("kind") != "message", "seq", "rank", "role", "text")
-        .select("conv_id", "kind", "role", "text")
+        .select("conv_id", "slot", "kind", "role", "text")
     )
     id_type = dict(sorted_log.dtypes)["conv_id"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nobody = object()
         conv: object = nobody
-        position, role, parts, opened_one = 0, "", [], False
+        position, role, parts, opened_one, at = 0, "", [], False, None
         for batch in batches:
             ids, out = batch.column(0).type, []
 
@@ -90,15 +90,15 @@ def format_conversations(events: DataFrame, learn_from: tuple[str, ...] = ("assi
                 out.append((conv, position, segment, start if learn else None, end if learn else None))
                 position += 1
 
-            for c, kind, r, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            for c, slot, kind, r, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if c != conv or kind == "message":
                     if opened_one:
                         close()
                     if c != conv:
                         conv, position = c, 0
                     opened_one = kind == "message"
-                    role, parts = r, [text]
-                elif opened_one:
+                    role, parts, at = r, [text], slot
+                elif opened_one and slot == at:
                     if kind == "delta":
                         parts.append(text)
                     elif kind == "edit":
