@@ -95,4 +95,4 @@ def common_subsequence(a: Column, b: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """2 * common subsequence / (length + length); 1 for two empty names."""
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).otherwise(common_subsequence(a, b) * 2.0 / F.greatest(total, F.lit(1)))
+    return F.when(total == 0, 1.0).when(total > 0, common_subsequence(a, b) * 2.0 / F.greatest(total, F.lit(1)))
