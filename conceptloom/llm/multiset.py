@@ -107,12 +107,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def keyed(doc_id: str, th: str) -> list[Column]:
         return [F.coalesce(doc_id, F.lit(0).cast(dict(docs.dtypes)["doc_id"])).alias("_id"), F.col(doc_id).isNull().alias("_none"), F.col(th).alias("_th")]
 
-    rows = base.select("doc_id", "text", *keyed("doc_id", "th")).withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_th")))
+    # the id itself is left out, so that both uses need the same columns and read one exchange
+    rows = base.select("text", *keyed("doc_id", "th")).withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_th")))
     before = ring.select(*keyed("next_id", "next_th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     # greatest() keeps the planner from limiting rows before the exchange, which would then not be shared
     sent = rows.where(F.greatest("_copy", F.lit(1)) == 1).join(before, key).select(*keyed("to_id", "to_th"), F.expr("substring(text, 1, need)").alias("head"), text_vector(F.col("text")).alias("next_vector"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.col("head"))
-    both = rows.join(sent, key).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), text_vector(F.col("text")).alias("vector"), "next_vector")
+    doc_id = F.when(~F.col("_none"), F.col("_id")).alias("doc_id")
+    both = rows.join(sent, key).select(doc_id, F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), text_vector(F.col("text")).alias("vector"), "next_vector")
     return both.withColumn("edited_vector", text_vector(F.col("edited")))
 
 
