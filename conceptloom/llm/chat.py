@@ -2,9 +2,9 @@
 
 A log holds events of conversations: ``message`` opens a message with a role and its first text, ``delta`` appends to it, ``edit``
 replaces its text, ``regenerate`` discards it and starts anew. ``target`` is the sequence number of the message that an event
-changes; without one it changes the last message opened before it. Events are dealt by conversation, sorted by message and
-sequence, and folded as a stream: a task holds one message at a time, whatever the length of its conversations. Every final message is
-rendered as one segment; the segments of a conversation, in order, are its training text.
+changes; without one it changes the last message opened before it. Events are dealt by conversation and message, sorted by sequence,
+and folded as a stream: a task holds one message at a time, and a conversation of any length is spread over many tasks. Every final
+message is rendered as one segment; the segments of a conversation, in order, are its training text.
 
 Template: ``<|im_start|>role`` newline ``text<|im_end|>`` newline. A control string inside a text gets a backslash after its first
 character (one more where there are backslashes), which is taken out again on reading, so nothing in a text can end a turn.
@@ -61,63 +61,66 @@ def parse(segment: str) -> tuple[str, str]:
     return unescape(name), unescape(m[2])
 
 
-def format_conversations(events: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, seq, kind, target, role, text) to one row per final message, in order within its partition:
-    (conv_id, position, segment, loss_from, loss_to); the last two are null outside the loss mask, else code points of the segment."""
-    log = events.select("conv_id", "seq", "kind", "target", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    opened = Window.partitionBy("conv_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+def _with_slots(log: DataFrame) -> DataFrame:
+    """``slot``: the sequence number of the message that an event opens or changes. Only events without a target look for the last
+    message before them, among the sequence numbers of their own conversations."""
     is_message = F.col("kind") == "message"
-    slot = F.when(is_message, F.col("seq")).otherwise(F.coalesce("target", F.max(F.when(is_message, F.col("seq"))).over(opened)))
+    direct = log.where(is_message | F.col("target").isNotNull()).withColumn("slot", F.when(is_message, F.col("seq")).otherwise(F.col("target")))
+    loose = log.where(~is_message & F.col("target").isNull())
+    opened = log.where(is_message).join(loose.select(F.col("conv_id").alias("_id")).distinct(), F.col("conv_id").eqNullSafe(F.col("_id")), "left_semi")
+    marks = opened.select("conv_id", "seq", F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), F.lit("").alias("role"), F.lit("").alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    found = loose.unionByName(marks).withColumn("slot", F.max(F.when(is_message, F.col("seq"))).over(before))
+    return direct.unionByName(found.where(~is_message & F.col("slot").isNotNull()))
+
+
+def format_conversations(events: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, seq, kind, target, role, text) to one row per final message: (conv_id, slot, nth, segment, loss_from, loss_to).
+
+    Segments of a conversation follow by slot and nth, its number among messages of one sequence number. The last two columns are
+    null outside the loss mask, else places in the segment. A message is folded by one task; its conversation may be in many.
+    """
+    log = events.select("conv_id", F.col("seq").cast("long").alias("seq"), "kind", F.col("target").cast("long").alias("target"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    sorted_log = (
-        log.withColumn("slot", slot).withColumn("rank", rank).where(is_message | F.col("slot").isNotNull())
-        .repartition("conv_id").sortWithinPartitions("conv_id", "slot", F.col("kind") != "message", "seq", "rank", "role", "text")
-        .select("conv_id", "slot", "kind", "role", "text")
-    )
+    order = ["conv_id", "slot", F.col("kind") != "message", "seq", rank, "role", "text"]
+    sorted_log = _with_slots(log).repartition("conv_id", "slot").sortWithinPartitions(*order).select("conv_id", "slot", "kind", "role", "text")
     id_type = dict(sorted_log.dtypes)["conv_id"]
+    names = ["conv_id", "slot", "nth", "segment", "loss_from", "loss_to"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nobody = object()
-        conv: object = nobody
-        position, role, parts, opened_one, at = 0, "", [], False, None
+        key, nth, role, parts, ids = None, 0, "", None, None  # parts is None before the first message
+
+        def final() -> tuple:
+            segment, start, end = render(role, "".join(parts))
+            learn = role in learn_from
+            return (*key, nth, segment, start if learn else None, end if learn else None)
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            kinds = (ids, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            ids, out = batch.column(0).type, []
-
-            def close(out=out):
-                nonlocal position
-                segment, start, end = render(role, "".join(parts))
-                learn = role in learn_from
-                out.append((conv, position, segment, start if learn else None, end if learn else None))
-                position += 1
-
-            for c, slot, kind, r, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if c != conv or kind == "message":
-                    if opened_one:
-                        close()
-                    if c != conv:
-                        conv, position = c, 0
-                    opened_one = kind == "message"
-                    role, parts, at = r, [text], slot
-                elif opened_one and slot == at:
+            ids, done = batch.column(0).type, []
+            for conv, slot, kind, r, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                here = (conv, slot)
+                if kind == "message":
+                    if parts is not None:
+                        done.append(final())
+                    nth = nth + 1 if parts is not None and key == here else 0
+                    key, role, parts = here, r, [text]
+                elif parts is not None and key == here:
                     if kind == "delta":
                         parts.append(text)
                     elif kind == "edit":
                         parts = [text]
                     elif kind == "regenerate":
                         role, parts = r or role, [text]
-            if out:
-                yield _rows(out, ids)
-        if opened_one:
-            out = []
-            segment, start, end = render(role, "".join(parts))
-            learn = role in learn_from
-            yield _rows([(conv, position, segment, start if learn else None, end if learn else None)], ids)
-
-    def _rows(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
-        kinds = (ids, pa.int64(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "position", "segment", "loss_from", "loss_to"])
+            if done:
+                yield rows(done)
+        if parts is not None:
+            yield rows([final()])
 
-    return sorted_log.mapInArrow(fold, f"conv_id {id_type}, position long, segment string, loss_from long, loss_to long")
+    return sorted_log.mapInArrow(fold, f"conv_id {id_type}, slot long, nth long, segment string, loss_from long, loss_to long")
 
 
 @dataclass
@@ -144,7 +147,8 @@ class _Digest:
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
-    """What format_conversations() returns, unchanged, to one row per conversation, read back from the segments as a stream."""
+    """What format_conversations() returns to one row per conversation, read back from the segments in order. A hash of a whole
+    conversation is worked out in sequence, so here one task streams it; it holds one segment at a time."""
     id_type = dict(segments.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -157,8 +161,8 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, done = batch.column(0).type, []
-            for conv, position, segment, start, end in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if own is None or position == 0:
+            for conv, segment, start, end in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if own is None or own.conv_id != conv:
                     done += [own] if own else []
                     own = _Digest(conv)
                 own.add(segment, start, end)
@@ -167,7 +171,8 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
         if own:
             yield rows([own])
 
-    return segments.select("conv_id", "position", "segment", "loss_from", "loss_to").mapInArrow(of, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "slot", "nth").select("conv_id", "segment", "loss_from", "loss_to")
+    return ordered.mapInArrow(of, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ emits all variants of each half within one bit (66 in all, where whole fingerpri
 the fingerprints whose own half they equal, and colliding pairs are verified on all 64 bits. Variants that meet no fingerprint are
 dropped by the join, and pairs are found once each whatever the number of equal texts, as only distinct fingerprints are linked.
 
+Similar texts (``similar_texts``, ``keep_one``) are a wider relation: texts that share 0.8 of their five-word shingles differ by about
+ten bits of a fingerprint, far outside of any ball that can be emitted. There the links of the balls are joined by candidates that share
+a band of smallest shingle hashes, and every candidate is verified on the whole shingle sets. In a bucket of a band each text is
+compared with its smallest and largest member, and with those of the part that shares the next band as well, so candidates stay in
+proportion to the texts.
+
 A bucket is joined pair by pair only while this costs less than hashing a second ball, in the other half. In a dense bucket the
 other halves emit their own variants, within one and two bits. All members of such a second bucket are within the radius of its
 nearest members, so each is linked to the smallest of these and no pair is enumerated. Both ways give the same components; the
@@ -30,37 +36,67 @@ from conceptloom.llm.graph import components
 
 RADIUS = 3
 _CHUNK = 1 << 16
+#: Of the search for similar texts: bands of smallest hashes, and hashes in each. At similarity 0.8 a pair shares one with 0.998.
+BANDS, ROWS = 16, 5
 
 
-def simhash(text: bytes, width: int, seed: int) -> int:
-    """The unsigned fingerprint of a whole text; ASCII letters are lowered, words end at ASCII white space."""
+def shingle_hashes(text: bytes, width: int, seed: int) -> Iterator[np.ndarray]:
+    """Unsigned hashes of all word shingles of a whole text, in parts; ASCII letters are lowered, words end at ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, max(1, len(words) - width + 1) if words else 0, _CHUNK):
         part = words[at : at + _CHUNK + width - 1]
         grams = [b" ".join(part)] if len(words) < width else list(map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)))
-        hashes = np.array([xxh64_intdigest(g, seed) for g in grams], np.uint64)
+        yield np.array([xxh64_intdigest(g, seed) for g in grams], np.uint64)
+
+
+def majority(parts: list[np.ndarray]) -> int:
+    """The unsigned fingerprint of hashes: bits that are set in over half of them."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
         # up to 255 rows are added as packed bytes before they are widened
         counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
-    """(doc_id, text) to (doc_id, text_hash, fp): the fingerprint as a signed long, bit 63 being the sign."""
+def simhash(text: bytes, width: int, seed: int) -> int:
+    return majority(list(shingle_hashes(text, width, seed)))
+
+
+def band_keys(parts: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    """A hash of each band of smallest permuted shingle hashes, as signed longs; none for no shingles."""
+    from xxhash import xxh64_intdigest
+
+    if not parts:
+        return []
+    multipliers = np.random.default_rng(1).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in parts:
+        for at in range(0, len(hashes), 2048):
+            least = np.minimum(least, (hashes[at : at + 2048, None] * multipliers[None, :]).min(axis=0))
+    keys = [xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, width: int, seed: int = 42, with_bands: bool = False) -> DataFrame:
+    """(doc_id, text) to (doc_id, text_hash, fp): the fingerprint as a signed long, bit 63 being the sign; also ``bands`` if asked."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t, width, seed) for t in in_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            fps, bands = np.zeros(batch.num_rows, np.uint64), []
+            for i, text in enumerate(in_bytes(batch.column(1))):
+                parts = list(shingle_hashes(text, width, seed))
+                fps[i] = majority(parts)
+                if with_bands:
+                    bands.append(band_keys(parts))
+            columns, names = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(bands, pa.list_(pa.int64()))] if with_bands else []), names=names + (["bands"] if with_bands else []))
 
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, fp long")
+    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, fp long" + (", bands array<long>" if with_bands else ""))
 
 
 def _half(fp: Column, half: Column) -> Column:
@@ -130,9 +166,75 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id (a null id last), of repeated rows any one."""
-    keepers = near_duplicates(docs, width).select("keeper").distinct().select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash"))
+def _candidates(texts: DataFrame) -> DataFrame:
+    """Distinct (text_hash, fp, bands) to pairs (a < b) of text hashes that may be similar."""
+    first = texts.groupBy("fp").agg(F.min("text_hash").alias("first"))
+    same_print = texts.join(first, "fp").select(F.col("text_hash").alias("x"), F.col("first").alias("y"))
+    ball = links(first.select("fp"))
+    of = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
+    balls = ball.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
+    keys = F.explode(F.concat("bands", F.transform(F.arrays_zip(F.col("bands").alias("k"), following.alias("n")), lambda p: F.xxhash64(p["k"], p["n"]))))
+    in_bands = materialise(texts.where("size(bands) > 0").select("text_hash", keys.alias("key")), "similar-bands")
+    ends = in_bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low != high")
+    stars = in_bands.join(ends, "key").select(F.col("text_hash").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    pairs = same_print.unionByName(balls).unionByName(stars).where("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _shingle_sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(text_hash, text) to (text_hash, shingles): the distinct shingle hashes, sorted, folded to 32 bits."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in in_bytes(batch.column(1)):
+                parts = list(shingle_hashes(text, width, seed))
+                sets.append(np.unique((np.concatenate(parts) >> np.uint64(32)).astype("<u4")).tobytes() if parts else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["text_hash", "shingles"])
+
+    return rows.select("text_hash", "text").mapInArrow(of, "text_hash long, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have that Jaccard similarity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of_side = lambda c: sets.select(F.col("text_hash").alias(c), F.col("shingles").alias(f"s{c}"))
+    return pairs.join(of_side("a"), "a").join(of_side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(of, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, text) to (doc_id, text_hash, component_id, keeper), as near_duplicates() returns them, for texts linked by shingle sets
+    of at least that Jaccard similarity. Texts without words are one component."""
+    prints = materialise(fingerprints(docs, width, seed, with_bands=True), "similar")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    wordless = F.size("bands") == 0
+    by_text = materialise(prints.groupBy("text_hash").agg(F.min(row).alias("first_row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-texts")
+    pairs = materialise(_candidates(by_text.select("text_hash", "fp", "bands")), "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(by_text.select("text_hash", "first_row.doc_id"), "text_hash").toDF("_hash", "_id")
+    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    sets = materialise(_shingle_sets(chosen, width, seed), "similar-sets").dropDuplicates(["text_hash"])
+    empty = by_text.where(wordless).select(F.col("text_hash").alias("a")).crossJoin(by_text.where(wordless).agg(F.min("text_hash").alias("b"))).where("a != b")
+    roots = components(_verified(pairs, sets, similarity).unionByName(empty)).toDF("text_hash", "root")
+    rooted = by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("text_hash", "keeper")
+    return prints.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """One row of each component of similar texts: the one with the smallest doc_id (a null id last), of repeated rows any one.
+    Without ``similarity`` the components are those of the fingerprints alone."""
+    found = near_duplicates(docs, width) if similarity is None else similar_texts(docs, width, similarity)
+    keepers = found.select("keeper").distinct().select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = hashed.join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))

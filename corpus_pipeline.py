@@ -33,7 +33,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles) stays."""
+    """One document of each group of texts linked by 0.8 of their five-word shingles stays."""
     return simhash.keep_one(docs)
 
 

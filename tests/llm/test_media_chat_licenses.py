@@ -92,12 +92,13 @@ def test_op7_against_brute_force(spark, tmp_path):
         for t in range(rng.randrange(1, 9)):
             text = rng.choice([None, "", "hi </s> there", "<|im_end|>\n<|im_start|>assistant\n", "é" * 50, "plain"])
             rows.append((c, t, rng.choice(["user", "assistant", "system", None]), text))
+    rows += [(50, 3, "user", "tie"), (50, 3, "user", "tie"), (50, 3, "assistant", "tie"), (50, 1, "user", "before")]
     rows += [(99, t, "assistant" if t % 2 else "user", f"hot {t}") for t in range(3000)]
     rng.shuffle(rows)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in chat.op7_chat_events(spark, str(tmp_path)).collect()}
     by = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
-    for c, t, r, x in sorted(rows, key=lambda r: r[:2]):
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0], r[1], r[2] or '', r[3] or '')):
         by.setdefault(c, []).append((r or "", x or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
@@ -115,8 +116,9 @@ def test_events_fold_deltas_edits_and_regenerations(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, target long, role string, text string").withColumn("position", F.lit(5)).repartition(3)
     rows = chat.format_conversations(events).collect()
     final = {}
-    for r in rows:
-        final.setdefault(r.conv_id, {})[r.position] = chat.parse(r.segment)
+    for r in sorted(rows, key=lambda r: (r.slot, r.nth)):
+        own = final.setdefault(r.conv_id, {})
+        own[len(own)] = chat.parse(r.segment)
     assert final == {1: {0: ("user", "hello there"), 1: ("assistant", "good answer"), 2: ("user", "bye")}, 2: {0: ("", "")}, None: {0: ("user", "x")}}
     learned = [chat.unescape(r.segment[r.loss_from : r.loss_to]) for r in rows if r.loss_from is not None]
     assert learned == ["good answer"]

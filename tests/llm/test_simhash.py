@@ -90,7 +90,7 @@ def test_components_of_a_long_chain_and_of_nothing(spark):
 
 
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark, docs, texts, nobody):
-    kept = simhash.keep_one(docs, width=3)
+    kept = simhash.keep_one(docs, width=3, similarity=None)
     assert kept.columns == docs.columns
     prints = {i: brute_fingerprint(t, 3) for i, t in enumerate(texts)}
     root = brute_components(sorted(set(prints.values())))
@@ -101,6 +101,42 @@ def test_keep_one_keeps_the_smallest_id_of_each_group(spark, docs, texts, nobody
     assert simhash.keep_one(nobody).count() == 0
 
 
+def shingles(text, width=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Copies with a few changed words, copies of copies, exact copies, a shared passage, and unlike texts."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = [None, "", "\n", "a b", "a b", "a c"]
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            base = list(base)
+            for _ in range(rng.randrange(1, max(2, len(base) // 60))):
+                base[rng.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+        texts += [texts[-1], " ".join([word() for _ in range(150)] + passage)]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b)):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    rows = simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: find(i) for i in range(len(texts))}
+
+
 def test_null_ids_never_name_a_component(spark):
     df = spark.createDataFrame([(None, "same text here"), (4, "same text here"), (None, "quite another one")], "doc_id long, text string")
     rows = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df, 3).collect()}
