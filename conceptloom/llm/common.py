@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,22 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from conceptloom.storage import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='conceptloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["annotate", "bind", "documents", "held_out", "in_bytes", "labelled_sample", "materialise", "power_of_two", "ranked", "shared_dir"]
 
 
 def in_bytes(texts: pa.Array) -> Iterator[bytes]:
@@ -42,8 +27,8 @@ def annotate(df: DataFrame, text: str, keep: list[str], fields: str, scorer: Cal
 
     ``scorer()`` is called once a task and gives a function from texts to columns; with ``where`` only its true rows stay.
     """
-    slim = df.select(text, *keep)
-    schema = StructType([slim.schema[c] for c in keep] + StructType.fromDDL(fields).fields) if fields else StructType([slim.schema[c] for c in keep])
+    slim = df.select(F.col(text).alias("_whole_text"), *keep)
+    schema = StructType([df.schema[c] for c in keep] + (StructType.fromDDL(fields).fields if fields else []))
     extra = to_arrow_schema(StructType.fromDDL(fields)) if fields else []
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

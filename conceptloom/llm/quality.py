@@ -136,8 +136,7 @@ def score_quality(docs: DataFrame, model: PairwiseModel, keep: list[str]) -> Dat
 
 def keep_good(docs: DataFrame, model: PairwiseModel) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
-    columns = docs.columns
-    return annotate(docs.withColumn("_text", F.col("text")), "_text", columns, "", lambda: lambda texts: {"score": model.score(texts)}, lambda c: (c["score"] >= 0.5).tolist())
+    return annotate(docs, "text", docs.columns, "", lambda: lambda texts: {"score": model.score(texts)}, lambda c: (c["score"] >= 0.5).tolist())
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> Da
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return annotate(docs.withColumn("_text", F.col("text")), "_text", docs.columns, "", lambda: lambda texts: {"score": [model.score(t)[0] for t in texts]}, lambda c: [s < THRESHOLD for s in c["score"]])
+    return annotate(docs, "text", docs.columns, "", lambda: lambda texts: {"score": [model.score(t)[0] for t in texts]}, lambda c: [s < THRESHOLD for s in c["score"]])
 
 
 def op2_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
