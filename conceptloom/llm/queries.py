@@ -7,6 +7,7 @@ from conceptloom.llm.hilbert import op1_hilbert_shards
 from conceptloom.llm.licenses import op9_license_join
 from conceptloom.llm.mixing import op6_entropy_mix
 from conceptloom.llm.multiset import op10_multiset_fingerprints
+from conceptloom.llm.oracle import chat_sql, license_sql
 from conceptloom.llm.packing import op3_lexical_packing
 from conceptloom.llm.quality import op4_pairwise_quality
 from conceptloom.llm.simhash import op5_simhash_balls
@@ -21,5 +22,5 @@ QUERIES = {
     )
 }
 
-#: SQL can express none of these whole: they need crc32 or xxhash64, Newton steps, models or tokenizers.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can express none of the others whole: they need crc32 or xxhash64, Newton steps, models or tokenizers.
+ORACLE_SQL: dict[str, str] = {"op7_chat_events": chat_sql(), "op9_license_join": license_sql()}
