@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Words, and their first four and five bytes (stems), whose presence tells the labels apart beyond chance make up the vocabulary; their
+Words, their first four and five bytes (stems), and marks of either that a text repeats, whose presence tells the labels apart beyond chance make up the vocabulary; their
 inverse document frequencies are counted over all documents. Labelled examples are held in an inverted index whose postings are cut into blocks of examples with the largest weight of each
 word in each block. For a document the sums of these bounds are visited from the largest, and blocks that cannot reach the k-th best
 cosine are skipped, so neighbours are exact. Votes are weighted by the squared cosine, with a small weight on the share of toxic labels
@@ -56,6 +56,26 @@ def term_counts(words: list[bytes], known: frozenset[bytes] | set[bytes] | None
     return out
 
 
+#: A term that a text has this often is a term of its own, marked by a byte that no word has.
+REPEATED = ((2, b"\x01"), (4, b"\x02"))
+
+
+def with_repeats(counts: dict[bytes, int]) -> dict[bytes, int]:
+    """The counts, and 1 for each mark that a term's count reaches."""
+    return counts | {t + mark: 1 for t, n in counts.items() for least, mark in REPEATED if n >= least}
+
+
+def unmarked(term: bytes) -> bytes:
+    return term[:-1] if term[-1:] in (b"\x01", b"\x02") else term
+
+
+def known_counts(text: bytes, base: frozenset[bytes]) -> dict[bytes, int]:
+    """Counts of the terms in ``base`` that a text has, and their marks."""
+    words = words_of(text)
+    known = base & terms_of(words)
+    return with_repeats(term_counts(words, known)) if known else {}
+
+
 class BlockMaxIndex:
     """Postings by word over examples of unit length, in blocks of BLOCK examples."""
 
@@ -111,6 +131,9 @@ class ToxicityModel:
     votes: np.ndarray | None = None  # calibration: votes and their scores, both rising
     scores: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.base = frozenset(map(unmarked, self.words))
+
     def vector(self, counts: dict[int, int]) -> Vector:
         terms = np.array(sorted(counts), np.int64)
         weights = (1 + np.log([counts[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
@@ -118,9 +141,7 @@ class ToxicityModel:
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
     def counts(self, text: bytes) -> dict[int, int]:
-        words = words_of(text)
-        known = self.words.keys() & terms_of(words)
-        return {self.words[t]: n for t, n in term_counts(words, known).items()} if known else {}
+        return {self.words[t]: n for t, n in known_counts(text, self.base).items() if t in self.words}
 
     def vote(self, query: Vector, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         ids, cosines = self.index.nearest(query, NEIGHBOURS, without)
@@ -156,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most the sum of EXAMPLES ids
 
     def tally(texts: list[bytes]) -> dict[str, list]:
-        counts = [term_counts(words_of(t)) for t in texts]
+        counts = [with_repeats(term_counts(words_of(t))) for t in texts]
         return {"words": [list(c) for c in counts], "times": [list(c.values()) for c in counts]}
 
     chosen = chosen.dropDuplicates(["text"])
@@ -197,11 +218,11 @@ def _document_frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[np.
 
         from conceptloom.llm.common import in_bytes
 
-        total, rows = Counter(), 0
+        total, rows, base = Counter(), 0, frozenset(map(unmarked, place))
         for batch in batches:
             rows += batch.num_rows
             for text in in_bytes(batch.column(0)):
-                total.update(place.keys() & terms_of(words_of(text)))
+                total.update(place.keys() & known_counts(text, base).keys())
         total[b""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
