@@ -1 +1 @@
-
+"""Empty: no operator here works on streams."""
