@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from conceptloom.llm import packing
 
-ODD = ["", "  a  b\n\n c ", "a b  c", "x\x1cy \x1f z", "it's  'llama' don't\t\tgo", "<|endoftext|> 12３ ½ x²", "é" * 70 + " \n " + "ab" * 80, "\r\n\r\n a", "日本語 テスト😀😀", "a\u0085\u0085b \x0b\x0c", "zero​ width﻿"]
+ODD = ["", "a\u2003\u2003b \u3000c\u2028\u2028\u202fd\u180ee\u200bf", "  a  b\n\n c ", "a b  c", "x\x1cy \x1f z", "it's  'llama' don't\t\tgo", "<|endoftext|> 12３ ½ x²", "é" * 70 + " \n " + "ab" * 80, "\r\n\r\n a", "日本語 テスト😀😀", "a\u0085\u0085b \x0b\x0c", "zero​ width﻿"]
 
 
 @pytest.fixture(scope="module")
