@@ -1,10 +1,13 @@
 """Licence scans by an exact set-similarity join of text blocks with licence templates.
 
-Templates are sets of words. Words are ordered by their frequency over all documents, rarest first. A block (line) contains a
+Templates are sets of words. Words are ordered by their frequency over all documents, rarest first. Blocks are the lines of a text
+and, over line ends, all its runs of as many words as the template has, so that wrapped notices are met whole. A block contains a
 template to the threshold if it has at least ``ceil(threshold * size)`` of its words, so it must hold one of the first
 ``size - that + 1`` words of the template in this order (prefix filter). Of a block only its words known to any template count:
 fewer than needed end the comparison (length filter), and so does a first common word after which either side has too few words
-left (positional filter). Survivors are counted exactly, so the join finds every block that meets the threshold. A phrase is a
+left (positional filter). Survivors are counted exactly, so the join finds every block that meets the threshold. As a text holds all words of its runs, the filters are applied to whole
+texts first, and runs are counted for the templates that are left. Of runs that overlap the best one is listed, and none that a line
+of the same template contains as well. A phrase is a
 template with threshold 1 whose block is the whole text; an exact comparison of word order follows.
 
 The templates are a fixed list and the only thing sent to the executors.
@@ -110,6 +113,31 @@ class Scanner:
                 if common >= t.needed:
                     yield t, common / len(t.ranked)
 
+    def runs(self, words: list[bytes]) -> Iterator[tuple[Template, int, int, float]]:
+        """(template, first word, number of words, containment) of runs as long as a template that contain it, the best of overlapping ones."""
+        for t, _ in self.block(words):
+            own = frozenset(t.ranked)
+            places = [i for i, w in enumerate(words) if w in own]
+            held: Counter[bytes] = Counter()
+            low, best = 0, None
+            for last in places:
+                held[words[last]] += 1
+                while places[low] <= last - len(t.words):
+                    w = words[places[low]]
+                    held[w] -= 1
+                    if not held[w]:
+                        del held[w]
+                    low += 1
+                if len(held) < t.needed:
+                    continue
+                if best and places[low] > best[1]:
+                    yield t, best[0], best[1] - best[0] + 1, best[2] / len(t.ranked)
+                    best = None
+                if not best or len(held) > best[2]:
+                    best = places[low], last, len(held)
+            if best:
+                yield t, best[0], best[1] - best[0] + 1, best[2] / len(t.ranked)
+
     def scan(self, text: bytes) -> tuple[int, list[dict]]:
         """Number of words, and every match in the order of the text."""
         words = words_of(text)
@@ -130,12 +158,16 @@ class Scanner:
                         break
                     if at >= k and words[at - k : at - k + n] == t.words:
                         found.append({"label": t.label, "kind": "phrase", "first_word": at - k, "n_words": n, "containment": 1.0})
-        start = 0
+        start, met = 0, []
         for line in text.split(b"\n"):
             own = words_of(line)
             if not self.blocked.isdisjoint(own):
-                found += [{"label": t.label, "kind": "block", "first_word": start, "n_words": len(own), "containment": c} for t, c in self.block(own)]
+                met += [(t, start, len(own), c) for t, c in self.block(own)]
             start += len(own)
+        if b"\n" in text and not self.blocked.isdisjoint(here):
+            lines = list(met)
+            met += [(t, at, n, c) for t, at, n, c in self.runs(words) if not any(t is u and at < a + m and a < at + n and c <= d for u, a, m, d in lines)]
+        found += [{"label": t.label, "kind": "block", "first_word": at, "n_words": n, "containment": c} for t, at, n, c in met]
         return len(words), sorted(found, key=lambda m: (m["first_word"], m["kind"], m["label"]))
 
 

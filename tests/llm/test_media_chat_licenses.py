@@ -177,3 +177,40 @@ def test_near_misses_of_notices_get_the_label_and_plain_texts_none(spark):
     rows = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_licenses(docs).collect()}
     assert rows == {1: {"mit"}, 2: set(), 3: set()}
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "gpl-3": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or",
+    "apache-2": "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "bsd-3": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:",
+}
+
+
+def test_wrapped_notices_get_their_labels_wherever_they_stand(spark):
+    rng = random.Random(5)
+    prose = lambda: "\n".join(" ".join(rng.choice(["the", "of", "in", "x", "copy"]) for _ in range(9)) for _ in range(40))
+    texts = {(label, k): ("", prose() + "\n")[k] + text + ("", "\n" + prose())[k] for label, text in WRAPPED.items() for k in (0, 1)}
+    keys = list(texts)
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(keys)], "doc_id long, text string")
+    rows = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_licenses(docs).collect()}
+    assert rows == {i: {label} for i, (label, _) in enumerate(keys)}
+
+
+def test_runs_over_line_ends_are_those_of_brute_force():
+    rng = random.Random(6)
+    vocabulary = [f"v{i}".encode() for i in range(25)]
+    notices = tuple((f"l{i}", " ".join(rng.choice(vocabulary).decode() for _ in range(rng.randrange(3, 9)))) for i in range(8))
+    scanner = licenses.Scanner(licenses.templates_of({}, notices, 0.8), {w: rng.randrange(100) for w in vocabulary})
+    for _ in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        got = {}
+        for t, at, n, c in scanner.runs(words):
+            assert n <= len(t.words) and c == len(set(words[at : at + n]) & set(t.words)) / len(set(t.words))
+            got[t.label] = max(c, got.get(t.label, 0))
+        want = {}
+        for t in scanner.templates:
+            shares = [len(set(words[i : i + len(t.words)]) & set(t.words)) / len(set(t.words)) for i in range(len(words))]
+            if max(shares, default=0) >= 0.8 - 1e-9:
+                want[t.label] = max(shares)
+        assert got == want
