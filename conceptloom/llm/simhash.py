@@ -8,9 +8,11 @@ dropped by the join, and pairs are found once each whatever the number of equal
 
 Similar texts (``similar_texts``, ``keep_one``) are a wider relation: texts that share 0.8 of their five-word shingles differ by about
 ten bits of a fingerprint, far outside of any ball that can be emitted. There the links of the balls are joined by candidates that share
-a band of smallest shingle hashes, and every candidate is verified on the whole shingle sets. In a bucket of a band each text is
-compared with its smallest and largest member, and with those of the part that shares the next band as well, so candidates stay in
-proportion to the texts.
+a band of smallest shingle hashes, and every candidate is verified on the whole shingle sets. In a bucket of a band each text is first
+compared with its smallest and largest member, and with those of the part that shares the next band as well, which links most copies
+in linear work. In buckets that then still hold several components, all pairs of texts of different components are compared, block
+against block, so every pair that shares a band is either linked already or verified. The largest component of a bucket is not compared
+with itself, so a bucket of one group of copies and a few others costs no more than its rows.
 
 A bucket is joined pair by pair only while this costs less than hashing a second ball, in the other half. In a dense bucket the
 other halves emit their own variants, within one and two bits. All members of such a second bucket are within the radius of its
@@ -36,6 +38,8 @@ from conceptloom.llm.graph import components
 
 RADIUS = 3
 _CHUNK = 1 << 16
+#: Texts of a block, and shingles counted at once, where a bucket is compared in full.
+BLOCK, COLUMNS = 256, 4096
 #: Of the search for similar texts: bands of smallest hashes, and hashes in each. At similarity 0.8 a pair shares one with 0.998.
 BANDS, ROWS = 16, 5
 
@@ -212,6 +216,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(of_side("a"), "a").join(of_side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(of, "a long, b long")
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``a`` shares with each of ``b``; the values of an array are distinct."""
+    counts = np.zeros((len(a), len(b)), np.float32)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        known = shared[at] == values
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], owner[known][order]
+
+    if not len(shared):
+        return counts
+    (at_a, own_a), (at_b, own_b) = places(a), places(b)
+    for low in range(0, len(shared), COLUMNS):
+        parts = []
+        for at, own, n in ((at_a, own_a, len(a)), (at_b, own_b, len(b))):
+            here = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+            part = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            part[own[here], at[here] - low] = 1
+            parts.append(part)
+        counts += parts[0] @ parts[1].T
+    return counts
+
+
+def _similar_in_blocks(key: int, a: pa.Table, b: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in two blocks of the bucket ``key`` of the pairs of different components that have that similarity, and that share no
+    band before this one."""
+    sides = []
+    for t in (a, b):
+        sides.append((t["root"].to_numpy(), np.array(t["bands"].to_pylist(), np.int64), [np.frombuffer(x, "<u4") for x in t["shingles"].to_pylist()]))
+    (root_a, bands_a, sets_a), (root_b, bands_b, sets_b) = sides
+    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+    open_ = (root_a[:, None] != root_b[None, :]) & (np.minimum(size_a[:, None], size_b[None, :]) >= similarity * np.maximum(size_a[:, None], size_b[None, :]) - 1e-9)
+    for q in range(bands_a[0].tolist().index(key)):
+        open_ &= bands_a[:, q, None] != bands_b[None, :, q]
+    rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(rows):
+        return rows, columns
+    common = _common([sets_a[i] for i in rows], [sets_b[i] for i in columns]).astype(np.float64)
+    both = size_a[rows][:, None] + size_b[columns][None, :] - common
+    x, y = np.nonzero(open_[np.ix_(rows, columns)] & (common >= similarity * both - 1e-9))
+    return rows[x], columns[y]
+
+
+def _crowded(texts: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of different components that share a band and have that similarity.
+
+    ``texts`` has (text_hash, bands), ``roots`` (text_hash, root) of the linked ones, ``sets`` the shingles of all that share a band.
+    """
+    rooted = texts.where("size(bands) > 0").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    members = rooted.select("text_hash", "root", F.explode("bands").alias("key"))
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = by_root.groupBy("key").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("n_roots")).where("n_all > 3 and n_roots > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    buckets = buckets.select("key", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("n_top"), blocks(F.col("n_all") - F.col("top.n")).alias("n_rest"))
+    # blocks of the rest are 0 to n_rest - 1, those of the largest component follow
+    held = members.join(buckets, "key").withColumn("is_top", F.col("root") == F.col("top"))
+    spread = F.xxhash64("text_hash", F.lit(7))
+    held = held.withColumn("own", F.when(F.col("is_top"), F.col("n_rest") + F.pmod(spread, F.col("n_top"))).otherwise(F.pmod(spread, F.col("n_rest"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_top") - 1))
+    dealt = held.select("key", "text_hash", "root", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_hash", "root")
+    dealt = dealt.join(texts.select("text_hash", "bands"), "text_hash").join(sets, "text_hash")
+
+    def of(group: tuple, table: pa.Table) -> pa.Table:
+        key, i, j = (x.as_py() for x in group)
+        own = table["own"].to_numpy()
+        a, b = table.filter(pa.array(own == i)), table.filter(pa.array(own == j))
+        x, y = _similar_in_blocks(key, a, b, similarity) if a.num_rows and b.num_rows else (np.zeros(0, np.int64),) * 2
+        left, right = a["text_hash"].to_numpy()[x], b["text_hash"].to_numpy()[y]
+        return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(of, "a long, b long")
+
+
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, text) to (doc_id, text_hash, component_id, keeper), as near_duplicates() returns them, for texts linked by shingle sets
     of at least that Jaccard similarity. Texts without words are one component."""
@@ -224,7 +305,10 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     sets = materialise(_shingle_sets(chosen, width, seed), "similar-sets").dropDuplicates(["text_hash"])
     empty = by_text.where(wordless).select(F.col("text_hash").alias("a")).crossJoin(by_text.where(wordless).agg(F.min("text_hash").alias("b"))).where("a != b")
-    roots = components(_verified(pairs, sets, similarity).unionByName(empty)).toDF("text_hash", "root")
+    found = materialise(_verified(pairs, sets, similarity).unionByName(empty), "similar-links")
+    first_roots = materialise(components(found).toDF("text_hash", "root"), "similar-roots")
+    crowded = materialise(_crowded(by_text.select("text_hash", "bands"), first_roots, sets, similarity), "similar-crowded")
+    roots = first_roots if crowded.isEmpty() else components(found.unionByName(crowded)).toDF("text_hash", "root")
     rooted = by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("text_hash", "keeper")
     return prints.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")

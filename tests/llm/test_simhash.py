@@ -137,6 +137,38 @@ def test_similar_texts_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: find(i) for i in range(len(texts))}
 
 
+def test_crowded_bands_are_compared_in_full(spark, monkeypatch):
+    """Texts that share a long passage, too little to be linked, and pairs among them that are just similar enough."""
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(170)]
+    texts = []
+    for k in range(900):
+        own = [word() for _ in range(28)]
+        texts.append(" ".join(passage + own))
+        if k % 5 == 0:
+            texts.append(" ".join(passage + own[:10] + [word() for _ in range(18)]))
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert not alike(sets[0], sets[2])
+    pairs = [(i, i + 1) for i in range(len(texts) - 1) if alike(sets[i], sets[i + 1])]
+    assert len(pairs) == 180
+    rows = simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    linked = dict((j, i) for i, j in pairs)
+    assert got == {i: linked.get(i, i) for i in range(len(texts))}
+
+
+def test_common_counts_against_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    import numpy as np
+
+    rng = random.Random(1)
+    a, b = ([np.array(sorted(rng.sample(range(90), rng.randrange(0, 40))), "<u4") for _ in range(n)] for n in (9, 5))
+    assert simhash._common(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_null_ids_never_name_a_component(spark):
     df = spark.createDataFrame([(None, "same text here"), (4, "same text here"), (None, "quite another one")], "doc_id long, text string")
     rows = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df, 3).collect()}
