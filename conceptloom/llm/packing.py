@@ -32,8 +32,10 @@ from conceptloom.llm.common import documents, in_bytes, materialise
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard (one index) and of a task, and characters that are encoded at once.
 SHARD_TOKENS, TASK_TOKENS, PART = 1 << 20, 1 << 23, 1 << 18
-#: Words of a seed that are looked up, the rarest first.
-QUERY_WORDS = 24
+#: Words of a seed that are looked up, the rarest first; None is all of them.
+QUERY_WORDS: int | None = None
+#: Tokens in over one of so many documents of a shard have their weights in a row for all documents.
+COMMON = 8
 K1, B = 1.2, 0.75
 ROWS = 4096
 _MIX = np.uint32(2654435761)
@@ -132,7 +134,7 @@ def _batch(ids: pa.Array, rows: list[tuple], last: pa.DataType) -> pa.RecordBatc
 
 
 class Bm25Index:
-    """An inverted index over token arrays; neighbours of a document by the BM25 score of its rarest tokens."""
+    """An inverted index over token arrays; neighbours of a document by the BM25 score of all its tokens."""
 
     def __init__(self, docs: list[np.ndarray]):
         words, times = [], []
@@ -155,18 +157,30 @@ class Bm25Index:
         t, own = tf[order], self.owner
         self.weight = self.idf[word[order]] * t * (K1 + 1) / (t + K1 * (1 - B + B * length[own] / length.mean()))
         self.size = len(docs)
+        common = np.flatnonzero(n_docs * COMMON > len(docs))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(docs)))
+        for r, w in enumerate(common.tolist()):
+            span = slice(self.start[w], self.start[w + 1])
+            self.rows[r, own[span]] = self.weight[span]
 
     def neighbours(self, doc: int) -> np.ndarray:
         """Other documents that share a looked-up token, by falling score, ties in order."""
         words = self.words[doc]
         words = words[self.n_docs[words] > 1]
-        if len(words) > QUERY_WORDS:
+        if QUERY_WORDS is not None and len(words) > QUERY_WORDS:
             words = words[np.argsort(self.n_docs[words], kind="stable")[:QUERY_WORDS]]
         if not len(words):
             return np.zeros(0, np.int64)
-        spans = [slice(self.start[w], self.start[w + 1]) for w in words.tolist()]
-        owner = np.concatenate([self.owner[s] for s in spans])
-        score = np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.size)
+        rows = self.row[words]
+        score = np.zeros(self.size)
+        for r in rows[rows >= 0].tolist():
+            score += self.rows[r]
+        spans = [slice(self.start[w], self.start[w + 1]) for w in words[rows < 0].tolist()]
+        if spans:
+            owner = np.concatenate([self.owner[s] for s in spans])
+            score += np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.size)
         score[doc] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

@@ -99,3 +99,19 @@ def test_a_window_is_filled_with_what_is_like_its_seed():
     packer = packing.Packer(1)
     packer.shard([packing.Tail(i, 0, 300, (a, b)[i % 2]) for i in range(12)])
     assert [d % 2 for d in packer.owners[:6]] == [0] * 6
+
+
+def test_all_tokens_of_a_long_seed_count():
+    """Neighbours that share many of its more frequent tokens, against brute-force BM25 over all tokens."""
+    rng = random.Random(7)
+    docs = [np.array([min(int(rng.expovariate(0.01)), 999) for _ in range(rng.randrange(50, 300))], "<u2") for _ in range(80)]
+    index, mean, n_docs = packing.Bm25Index(docs), sum(map(len, docs)) / 80, Counter(w for d in docs for w in set(d.tolist()))
+    times = [Counter(d.tolist()) for d in docs]
+    for d in range(80):
+        scores = {}
+        for o in range(80):
+            shared = set(times[d]) & set(times[o]) if o != d else ()
+            if shared:
+                scores[o] = sum(np.log1p((80.5 - n_docs[w]) / (n_docs[w] + 0.5)) * times[o][w] * 2.2 / (times[o][w] + 1.2 * (0.25 + 0.75 * len(docs[o]) / mean)) for w in shared)
+        got = index.neighbours(d).tolist()
+        assert set(got) == set(scores) and [scores[o] for o in got] == pytest.approx(sorted(scores.values(), reverse=True))
