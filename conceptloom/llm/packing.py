@@ -1,11 +1,12 @@
 """Packing documents into token windows by lexical retrieval.
 
 Documents are tokenised and cut: windows that a document fills alone are sequences at once, its tail goes to packing. Tails are dealt
-by ranges of (smallest token hash, hash of the id), which brings documents with common words together and splits any number of equal
-ones. A task reads its range in order, in shards of bounded size. Each shard is a BM25 inverted index; the first unused document is
-the seed of a window, its unused neighbours by BM25 follow, and the one that reaches over the end is cut there and becomes the next
-seed. When no neighbour is left the next unused document follows. A window that is open at the end of a shard goes on into the next
-one, so padding is at most one window a task.
+by ranges of (signature, hash of the id), which brings documents with common words together and splits any number of equal ones. A
+signature is three tokens of the tail, each the first in an order of its own in which rare tokens come early (weighted MinHash). A
+task reads its range in order, in shards of bounded size. Each shard is a BM25 inverted index, with document frequencies, document
+number and mean length counted over all tails; the first unused document is the seed of a window, its unused neighbours by BM25
+follow, and the one that reaches over the end is cut there and becomes the next seed. When no neighbour is left the next unused
+document follows. A window that is open at the end of a shard goes on into the next one, so padding is at most one window a task.
 
 The tokenizer file's path is a parameter. Very long texts are cut at white space, exactly where the tokenizer's own pattern cuts.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,8 @@ QUERY_WORDS: int | None = None
 COMMON = 8
 K1, B = 1.2, 0.75
 ROWS = 4096
-_MIX = np.uint32(2654435761)
+#: Of signatures: orders of tokens, and the power of the idf that draws rare tokens forward.
+ORDERS, RARE = 3, 2
 
 # The white space of the tokenizer's pattern, and the pattern itself.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -99,7 +101,7 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").data)
 
 
-TAIL = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, signature long, ids binary"
+TAIL = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary"
 
 
 def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -115,11 +117,11 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids = encoder.ids(raw.decode("utf-8", "replace"))
                 n, whole = len(ids), len(ids) // WINDOW * WINDOW
                 for at in range(0, whole, WINDOW):
-                    rows.append((at, WINDOW, ids_crc32(ids[at : at + WINDOW]), n, sequence, None, None))
+                    rows.append((at, WINDOW, ids_crc32(ids[at : at + WINDOW]), n, sequence, None))
                     sequence += 2  # even; packed windows are odd
                 if whole < n:
                     tail = ids[whole:]
-                    rows.append((whole, n - whole, None, n, None, int((tail.astype(np.uint32) * _MIX).min()), tail.tobytes()))
+                    rows.append((whole, n - whole, None, n, None, tail.tobytes()))
                 owner += [i] * (len(rows) - len(owner))
             if rows:
                 yield _batch(batch.column(0).take(pa.array(owner)), rows, pa.binary())
@@ -129,14 +131,66 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _batch(ids: pa.Array, rows: list[tuple], last: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [last]
+    kinds = [pa.int64()] * 5 + [last]
     return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *(f.split()[0] for f in TAIL.split(", ")[:-1]), "ids" if last == pa.binary() else "offset"])
 
 
+@dataclass
+class Corpus:
+    """What BM25 counts over all tails: in how many each token stands, how many there are, and their mean length."""
+
+    n_docs: np.ndarray
+    size: int
+    mean: float
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.size - self.n_docs + 0.5) / (self.n_docs + 0.5))
+
+
+def corpus_of(tails: DataFrame) -> Corpus:
+    """Counted over the ``ids`` of all tails; a number for each token of the vocabulary comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs, size, length = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = np.frombuffer(raw, "<u2")
+                n_docs[np.unique(ids)] += 1
+                size, length = size + 1, length + len(ids)
+        found = np.flatnonzero(n_docs)
+        yield pa.RecordBatch.from_arrays([pa.array([*found, -1, -2], pa.int32()), pa.array([*n_docs[found], size, length], pa.int64())], names=["token", "n"])
+
+    counts = {r.token: r.n for r in tails.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    size, length = counts.pop(-1, 0), counts.pop(-2, 0)
+    n_docs = np.zeros(1 << 16, np.int64)
+    n_docs[list(counts)] = list(counts.values())
+    return Corpus(n_docs, size, length / max(size, 1))
+
+
+def signatures(corpus: Corpus) -> Callable[[np.ndarray], int]:
+    """A function from ids to their signature. Tokens of a single tail have no weight, as they lead to no neighbour."""
+    weight = np.where(corpus.n_docs > 1, corpus.idf**RARE, 0)
+    draws = np.random.default_rng(5).exponential(size=(ORDERS, 1 << 16))
+    order = np.full(draws.shape, np.inf)
+    np.divide(draws, weight, out=order, where=np.broadcast_to(weight > 0, draws.shape))
+
+    def of(ids: np.ndarray) -> int:
+        signature = 0
+        for at in order[:, ids].argmin(1):
+            signature = signature << 16 | int(ids[at])
+        return signature
+
+    return of
+
+
 class Bm25Index:
-    """An inverted index over token arrays; neighbours of a document by the BM25 score of all its tokens."""
+    """An inverted index over token arrays; neighbours of a document by the BM25 score of all its tokens.
 
-    def __init__(self, docs: list[np.ndarray]):
+    Without ``corpus`` the documents of the index are all there are.
+    """
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         words, times = [], []
         for d in docs:
             s = np.sort(d, kind="stable")
@@ -152,10 +206,11 @@ class Bm25Index:
         self.owner = owner[order]
         n_docs = np.bincount(word, minlength=1 << 16)
         self.start = np.concatenate([[0], np.cumsum(n_docs)])
-        self.idf = np.log1p((len(docs) - n_docs + 0.5) / (n_docs + 0.5))
+        corpus = corpus or Corpus(n_docs, len(docs), length.mean())
+        self.idf = corpus.idf
         self.n_docs = n_docs
         t, own = tf[order], self.owner
-        self.weight = self.idf[word[order]] * t * (K1 + 1) / (t + K1 * (1 - B + B * length[own] / length.mean()))
+        self.weight = self.idf[word[order]] * t * (K1 + 1) / (t + K1 * (1 - B + B * length[own] / corpus.mean))
         self.size = len(docs)
         common = np.flatnonzero(n_docs * COMMON > len(docs))
         self.row = np.full(1 << 16, -1)
@@ -197,8 +252,8 @@ class Tail:
 class Packer:
     """Fills windows shard by shard; ``pieces`` are rows of TAIL without ids, the last value being the offset."""
 
-    def __init__(self, first_sequence: int):
-        self.sequence, self.filled = first_sequence, 0
+    def __init__(self, first_sequence: int, corpus: Corpus | None = None):
+        self.sequence, self.filled, self.corpus = first_sequence, 0, corpus
         self.owners: list[object] = []
         self.pieces: list[tuple] = []
 
@@ -206,14 +261,14 @@ class Packer:
         """Append what fits of the tail to the open window; returns the rest."""
         n = min(WINDOW - self.filled, len(tail.ids))
         self.owners.append(tail.doc_id)
-        self.pieces.append((tail.start, n, ids_crc32(tail.ids[:n]), tail.doc_tokens, self.sequence, None, self.filled))
+        self.pieces.append((tail.start, n, ids_crc32(tail.ids[:n]), tail.doc_tokens, self.sequence, self.filled))
         self.filled += n
         if self.filled == WINDOW:
             self.sequence, self.filled = self.sequence + 2, 0
         return Tail(tail.doc_id, tail.start + n, tail.doc_tokens, tail.ids[n:]) if n < len(tail.ids) else None
 
     def shard(self, tails: list[Tail]) -> None:
-        index = Bm25Index([t.ids for t in tails])
+        index = Bm25Index([t.ids for t in tails], self.corpus)
         unused = np.ones(len(tails), bool)
         after, rest = 0, None
         near: Iterator[int] = iter(())
@@ -242,15 +297,24 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     id_type = dict(table.dtypes)["doc_id"]
     names = [f.split()[0] for f in TAIL.split(", ")][:5]
     full = table.where("ids is null").select("doc_id", *names, F.lit(0).cast("long").alias("offset"))
-    tails = table.where("ids is not null").select("doc_id", "start", "doc_tokens", "signature", F.xxhash64("doc_id", "start").alias("spread"), "ids")
-    tokens = table.where("ids is not null").agg(F.sum("length")).first()[0] or 0
+    tails = table.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids")
+    corpus = corpus_of(tails)
+    tokens = round(corpus.size * corpus.mean)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = signatures(corpus)
+        for batch in batches:
+            signed = pa.array([of(np.frombuffer(raw, "<u2")) for raw in batch.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed], names=[*batch.schema.names, "signature"])
+
+    tails = tails.mapInArrow(sign, f"doc_id {id_type}, start long, doc_tokens long, ids binary, signature long").withColumn("spread", F.xxhash64("doc_id", "start"))
     key = ["signature", "spread"]
     dealt = tails.repartitionByRange(max(docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)), *key).sortWithinPartitions(*key, "doc_id", "ids").select("doc_id", "start", "doc_tokens", "ids")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, ids = Packer(TaskContext.get().partitionId() << 34 | 1), None
+        packer, ids = Packer(TaskContext.get().partitionId() << 34 | 1, corpus), None
         held, tokens = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,29 @@ def test_all_tokens_of_a_long_seed_count():
                 scores[o] = sum(np.log1p((80.5 - n_docs[w]) / (n_docs[w] + 0.5)) * times[o][w] * 2.2 / (times[o][w] + 1.2 * (0.25 + 0.75 * len(docs[o]) / mean)) for w in shared)
         got = index.neighbours(d).tolist()
         assert set(got) == set(scores) and [scores[o] for o in got] == pytest.approx(sorted(scores.values(), reverse=True))
+
+
+def test_shards_score_with_the_counts_of_all_documents(spark):
+    """df, N and mean length of a shard are those of the whole table, and its scores those of brute force with these."""
+    rng = random.Random(8)
+    docs = [np.array([rng.randrange(50) for _ in range(rng.randrange(5, 40))], "<u2") for _ in range(60)]
+    corpus = packing.corpus_of(spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(4))
+    n_docs, mean = Counter(w for d in docs for w in set(d.tolist())), sum(map(len, docs)) / 60
+    assert (corpus.size, corpus.mean) == (60, mean) and {w: n for w, n in enumerate(corpus.n_docs.tolist()) if n} == n_docs
+    shard = docs[:20]
+    index, times = packing.Bm25Index(shard, corpus), [Counter(d.tolist()) for d in shard]
+    for d in range(20):
+        score = lambda o: sum(np.log1p((60.5 - n_docs[w]) / (n_docs[w] + 0.5)) * times[o][w] * 2.2 / (times[o][w] + 1.2 * (0.25 + 0.75 * len(shard[o]) / mean)) for w in times[d])  # noqa: B023, E731
+        want = {o: score(o) for o in range(20) if o != d and times[o].keys() & times[d].keys()}
+        got = index.neighbours(d).tolist()
+        assert set(got) == set(want) and [want[o] for o in got] == pytest.approx(sorted(want.values(), reverse=True))
+
+
+def test_signatures_bring_like_documents_together():
+    rng = random.Random(9)
+    groups = [[rng.randrange(1000, 60000) for _ in range(60)] for _ in range(40)]
+    docs = [np.array([*range(100), *(w if rng.random() < 0.9 else rng.randrange(60000) for w in g), 1], "<u2") for g in groups for _ in range(5)]
+    n_docs = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    of = packing.signatures(packing.Corpus(n_docs, len(docs), 161.0))
+    order = sorted(range(len(docs)), key=lambda i: of(docs[i]))
+    assert sum(a // 5 == b // 5 for a, b in zip(order, order[1:], strict=False)) > 100
