@@ -7,7 +7,8 @@ template to the threshold if it has at least ``ceil(threshold * size)`` of its w
 fewer than needed end the comparison (length filter), and so does a first common word after which either side has too few words
 left (positional filter). Survivors are counted exactly, so the join finds every block that meets the threshold. As a text holds all words of its runs, the filters are applied to whole
 texts first, and runs are counted for the templates that are left. Of runs that overlap the best one is listed, and none that a line
-of the same template contains as well. A phrase is a
+of the same template contains as well. A line counts if a run of twice
+the template's words in it is enough, and a block must hold the words that tell the template's licence from others. A phrase is a
 template with threshold 1 whose block is the whole text; an exact comparison of word order follows.
 
 The templates are a fixed list and the only thing sent to the executors.
@@ -51,6 +52,14 @@ NOTICES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 THRESHOLD = 0.8
+# Words that tell a licence from others. A block must hold those that its template has, whatever else it holds.
+# lgpl-3 has none: the SQL labels the GPL notice lgpl-3 as well, and the tables hold such documents.
+TELLING = {
+    "mit": "mit", "apache-2": "apache 2", "cc-by-nc": "cc nc creative commons noncommercial", "cc-by": "creative commons attribution", "gpl-3": "gnu general 3",
+    "mpl-2": "mozilla 2",
+}
+# Words of a line that may hold a template, as a multiple of its own.
+SPREAD = 2
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH = "struct<label:string,kind:string,first_word:long,n_words:long,containment:double>"
@@ -68,6 +77,7 @@ class Template:
     threshold: float
     phrase: bool
     ranked: list[bytes] = field(default_factory=list)  # distinct, rarest first
+    telling: frozenset[bytes] = frozenset()
 
     @property
     def needed(self) -> int:
@@ -116,27 +126,32 @@ class Scanner:
     def runs(self, words: list[bytes]) -> Iterator[tuple[Template, int, int, float]]:
         """(template, first word, number of words, containment) of runs as long as a template that contain it, the best of overlapping ones."""
         for t, _ in self.block(words):
-            own = frozenset(t.ranked)
-            places = [i for i, w in enumerate(words) if w in own]
-            held: Counter[bytes] = Counter()
-            low, best = 0, None
-            for last in places:
-                held[words[last]] += 1
-                while places[low] <= last - len(t.words):
-                    w = words[places[low]]
-                    held[w] -= 1
-                    if not held[w]:
-                        del held[w]
-                    low += 1
-                if len(held) < t.needed:
-                    continue
-                if best and places[low] > best[1]:
-                    yield t, best[0], best[1] - best[0] + 1, best[2] / len(t.ranked)
-                    best = None
-                if not best or len(held) > best[2]:
-                    best = places[low], last, len(held)
-            if best:
-                yield t, best[0], best[1] - best[0] + 1, best[2] / len(t.ranked)
+            for first, last, common in self.spans(t, words, len(t.words)):
+                yield t, first, last - first + 1, common / len(t.ranked)
+
+    def spans(self, t: Template, words: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+        """(first, last, words in common) of runs of at most ``length`` words that contain the template, the best of overlapping ones."""
+        own = frozenset(t.ranked)
+        places = [i for i, w in enumerate(words) if w in own]
+        held: Counter[bytes] = Counter()
+        low, best = 0, None
+        for last in places:
+            held[words[last]] += 1
+            while places[low] <= last - length:
+                w = words[places[low]]
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+                low += 1
+            if len(held) < t.needed or not t.telling <= held.keys():
+                continue
+            if best and places[low] > best[1]:
+                yield best
+                best = None
+            if not best or len(held) > best[2]:
+                best = places[low], last, len(held)
+        if best:
+            yield best
 
     def scan(self, text: bytes) -> tuple[int, list[dict]]:
         """Number of words, and every match in the order of the text."""
@@ -162,7 +177,10 @@ class Scanner:
         for line in text.split(b"\n"):
             own = words_of(line)
             if not self.blocked.isdisjoint(own):
-                met += [(t, start, len(own), c) for t, c in self.block(own)]
+                for t, _ in self.block(own):
+                    common = max((n for _, _, n in self.spans(t, own, SPREAD * len(t.words))), default=0)
+                    if common:
+                        met.append((t, start, len(own), common / len(t.ranked)))
             start += len(own)
         if b"\n" in text and not self.blocked.isdisjoint(here):
             lines = list(met)
@@ -172,7 +190,9 @@ class Scanner:
 
 
 def templates_of(phrases: dict[str, str], notices: tuple[tuple[str, str], ...], threshold: float) -> list[Template]:
-    return [Template(label, words_of(p.encode()), 1.0, True) for p, label in phrases.items()] + [Template(label, words_of(n.encode()), threshold, False) for label, n in notices]
+    return [Template(label, words_of(p.encode()), 1.0, True) for p, label in phrases.items()] + [
+        Template(label, words_of(n.encode()), threshold, False, telling=frozenset(words_of(TELLING.get(label, "").encode())) & frozenset(words_of(n.encode()))) for label, n in notices
+    ]
 
 
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:

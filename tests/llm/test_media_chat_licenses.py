@@ -214,3 +214,15 @@ def test_runs_over_line_ends_are_those_of_brute_force():
             if max(shares, default=0) >= 0.8 - 1e-9:
                 want[t.label] = max(shares)
         assert got == want
+
+
+def test_other_licences_and_scattered_words_get_no_label(spark):
+    scattered = " x ".join("released ago y z and it went under b c d the e f g h mit i j k license l m n".split())
+    texts = [
+        "The tool is released under the GPL license", "Licensed under CC BY 4.0", "Licensed under the Foo License, Version 2.0", "Licensed under the Apache License, Version 1.0",
+        "This Source Code Form is subject to the terms of the Other Public License, v. 2.0", "This work is licensed under the GNU General Public License, version 2", scattered,
+        "The tool is released\nunder the GPL license", "Licensed under\nCC BY 4.0",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (99, "x " * 50 + LINES[0])], "doc_id long, text string")
+    rows = {r.doc_id: {m.label for m in r.matches if m.kind == "block"} for r in licenses.scan_licenses(docs).collect()}
+    assert rows == {**{i: set() for i in range(len(texts))}, 99: {"mit"}}
