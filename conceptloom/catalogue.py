@@ -496,12 +496,14 @@ def glove_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 # Alignment --------------------------------------------------------------------------------------------------------------
 
+#: First visit sequences that are aligned: those of the SQL, and as many as the reference takes where there is no SQL.
 _ALIGNED = 60
+_ALIGNED_WITHOUT_SQL = 100
 
 
-def _aligned(spark: SparkSession, sf: str) -> DataFrame:
+def _aligned(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     rows = jobs.patient_sequences(retail.domain_tables(spark, sf), START, END, by_visit=True).select(F.col("patient_window").alias("visit"), F.col("concepts").alias("sequence"))
-    return alignment.all_pairs(sequences.numbered(rows, "visit", _ALIGNED))
+    return alignment.all_pairs(sequences.numbered(rows, "visit", limit))
 
 
 _SEQS = f"""s AS (SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS k, q FROM (SELECT visit_occurrence_id AS v, list(standard_concept_id ORDER BY event_date, standard_concept_id) AS q FROM dev GROUP BY v HAVING count(*) > 1 ORDER BY v LIMIT {_ALIGNED}))"""
@@ -512,17 +514,17 @@ m AS (SELECT k1, k2, a, b, i, j FROM p, range(1, 100) t(i), range(1, 100) u(j) W
 chain AS (SELECT k1, k2, i, j, 1 AS n FROM m UNION SELECT c.k1, c.k2, m.i, m.j, c.n + 1 FROM chain c JOIN m ON m.k1 = c.k1 AND m.k2 = c.k2 AND m.i > c.i AND m.j > c.j)
 SELECT k1 AS position_1, k2 AS position_2, round(2.0::DOUBLE * (len(a) + len(b) - 2 * coalesce((SELECT max(n) FROM chain c WHERE c.k1 = p.k1 AND c.k2 = p.k2), 0)) / (len(a) + len(b)), {DIGITS}) AS score FROM p""")
 def patient_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_aligned(spark, sf).select("position_1", "position_2", "score"), "score").orderBy("score", "position_1", "position_2")
+    return rounded(_aligned(spark, sf, _ALIGNED).select("position_1", "position_2", "score"), "score").orderBy("score", "position_1", "position_2")
 
 
 @query()
 def alignment_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.steps_of(_aligned(spark, sf), "position_1", "position_2")
+    return alignment.steps_of(_aligned(spark, sf, _ALIGNED_WITHOUT_SQL), "position_1", "position_2")
 
 
 @query()
 def alignment_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.matched_frequency(_aligned(spark, sf)).orderBy(F.desc("count"), "concept_id")
+    return alignment.matched_frequency(_aligned(spark, sf, _ALIGNED_WITHOUT_SQL)).orderBy(F.desc("count"), "concept_id")
 
 
 @query()

@@ -47,3 +47,8 @@ def test_entry_module_has_every_query(spark):
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_the_first_hundred_sequences_are_aligned_with_each_other(spark):
+    pairs = {(r.position_1, r.position_2) for r in catalogue.alignment_steps(spark, SF).select("position_1", "position_2").distinct().collect()}
+    assert pairs == {(i, j) for j in range(100) for i in range(j)}
