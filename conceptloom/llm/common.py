@@ -27,18 +27,19 @@ def annotate(df: DataFrame, text: str, keep: list[str], fields: str, scorer: Cal
 
     ``scorer()`` is called once a task and gives a function from texts to columns; with ``where`` only its true rows stay.
     """
-    slim = df.select(F.col(text).alias("_whole_text"), *keep)
+    sent = keep if text in keep else [*keep, text]  # the text goes to Python once
+    at = sent.index(text)
     schema = StructType([df.schema[c] for c in keep] + (StructType.fromDDL(fields).fields if fields else []))
     extra = to_arrow_schema(StructType.fromDDL(fields)) if fields else []
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
-            columns = score(list(in_bytes(batch.column(0))))
-            out = pa.RecordBatch.from_arrays([batch.column(i + 1) for i in range(len(keep))] + [pa.array(columns[f.name], f.type) for f in extra], names=keep + [f.name for f in extra])
+            columns = score(list(in_bytes(batch.column(at))))
+            out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(columns[f.name], f.type) for f in extra], names=keep + [f.name for f in extra])
             yield out.filter(pa.array(where(columns), pa.bool_())) if where else out
 
-    return slim.mapInArrow(of, schema)
+    return df.select(*sent).mapInArrow(of, schema)
 
 
 def labelled_sample(labels: DataFrame, label: str, caps: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:

@@ -1,128 +1,181 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Words, their first four and five bytes (stems), and marks of either that a text repeats, whose presence tells the labels apart beyond chance make up the vocabulary; their
-inverse document frequencies are counted over all documents. Labelled examples are held in an inverted index whose postings are cut into blocks of examples with the largest weight of each
-word in each block. For a document the sums of these bounds are visited from the largest, and blocks that cannot reach the k-th best
-cosine are skipped, so neighbours are exact. Votes are weighted by the squared cosine, with a small weight on the share of toxic labels
-so that distant neighbours decide little, and calibrated on the examples themselves, each
-scored without itself, weighted back to the label counts of all training rows.
-
-The index is fitted on at most ``EXAMPLES`` labelled documents of each label and ``VOCABULARY`` words (a bound on what is broadcast);
-every document is scored on its whole text. Labels of held-out ids, languages, sources and ids are never inputs of a score.
-
-Edge cases: null and empty texts, and texts without any word of the vocabulary, have no neighbour and get the calibrated share of such
-examples; ties in cosine go to the example that comes first in the index; without labels of both kinds every score is the share of toxic
-labels (0 without labels); repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored.
+Terms are the words of the labelled examples, cut to stems of five bytes, as inflected and compound words share these; none is left out.
+A term weighs (1 + log count) * idf * evidence. The idf is counted over all documents. Evidence is the absolute logarithm of the ratio of
+its smoothed shares in toxic and in clean examples, so words that say nothing of the label weigh little; a word that no example has
+weighs nothing, so the cosine over the terms of the examples is that of the whole texts.
+
+Labelled examples are held in an inverted index whose postings are cut into blocks of examples, with the largest weight of each term in
+each block. For a document the bounds of all blocks are summed from these, the blocks of the largest bounds are opened, and of the others
+only those whose bounds reach the k-th best cosine so far, so neighbours are exact. Votes are weighted by the squared cosine, with a
+small weight on the share of toxic labels so that distant neighbours decide little. They are calibrated on the examples themselves, each
+scored by an index without its fold, weighted back to the label counts of all training rows.
+
+The index is fitted on at most ``EXAMPLES`` labelled texts of each label (a bound on what is broadcast); every document is scored on
+its whole text. Labels of held-out ids, languages, sources and ids are never inputs of a score. Constants were chosen by
+cross-validation within the rows that are not held out.
+
+Edge cases: null and empty texts, and texts without any term of the examples, have no neighbour and get the calibrated share of such
+examples; ties in cosine go to the example that comes first in the index; equal labelled texts are one example, with the label most of
+its ids have (toxic if equal) and its smallest id; without labels of both kinds every score is the share of toxic labels (0 without
+labels); repeated rows get equal scores; very long texts are scored whole, in memory in proportion to the text; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import annotate, documents, held_out, labelled_sample, materialise
+from conceptloom.llm.common import annotate, documents, held_out, in_bytes, labelled_sample
 from conceptloom.llm.licenses import words_of
 
-EXAMPLES = {0: 4000, 1: 3000}
-VOCABULARY, BLOCK, NEIGHBOURS = 1024, 64, 15
-#: A word needs this log-likelihood ratio (chance: about 1) and this ratio of odds, either way.
-EVIDENCE, ODDS = 20.0, 4.0
-#: It must also stand in this share of the different examples of one label, so that words of a few copied texts do not count.
-LEAST_SHARE = 0.02
+EXAMPLES = {0: 1600, 1: 800}
+BLOCK, NEIGHBOURS, FOLDS = 64, 15, 4
+#: Bytes of a stem, and examples' worth of smoothing of evidence.
+STEM, SMOOTHING = 5, 20.0
+#: Blocks of a query that are opened first, and texts and bytes that are scored together.
+FIRST, TEXTS, SLICE = 2, 128, 1 << 20
+#: Terms in over one of so many examples have a row of weights.
+COMMON = 24
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
 
-Vector = tuple[np.ndarray, np.ndarray]  # words as positions in the vocabulary, and their weights
+Vector = tuple[np.ndarray, np.ndarray]  # terms as positions in the vocabulary, rising, and their weights
 
 
-def terms_of(words: Iterable[bytes]) -> set[bytes]:
-    """The words and their stems."""
-    distinct = set(words)
-    return distinct.union([w[:4] for w in distinct], [w[:5] for w in distinct])
+def terms_of(text: bytes) -> list[bytes]:
+    """The stems of a whole text, repeats included."""
+    return [w[:STEM] for w in words_of(text)]
 
 
-def term_counts(words: list[bytes], known: frozenset[bytes] | set[bytes] | None = None) -> Counter[bytes]:
-    """How many words each term is or begins."""
-    out: Counter[bytes] = Counter()
-    for w, n in Counter(words).items():
-        for t in {w, w[:4], w[:5]}:
-            if known is None or t in known:
-                out[t] += n
-    return out
+def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Up to TEXTS texts, or about SLICE bytes, at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if len(held) == TEXTS or size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-#: A term that a text has this often is a term of its own, marked by a byte that no word has.
-REPEATED = ((2, b"\x01"), (4, b"\x02"))
+class Vocabulary:
+    """Positions of terms."""
 
+    def __init__(self, terms: list[bytes]):
+        self.terms = pa.array(terms, pa.binary())
 
-def with_repeats(counts: dict[bytes, int]) -> dict[bytes, int]:
-    """The counts, and 1 for each mark that a term's count reaches."""
-    return counts | {t + mark: 1 for t, n in counts.items() for least, mark in REPEATED if n >= least}
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known terms of the texts: text, term and count, in the order of text and term."""
+        words = [words_of(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        stems = pc.binary_slice(pa.array([w for ws in words for w in ws], pa.binary()), 0, STEM)
+        place = pc.fill_null(pc.index_in(stems, self.terms), -1).to_numpy(zero_copy_only=False)
+        n = max(1, len(self.terms))
+        keys, times = np.unique((owner * n + place)[place >= 0], return_counts=True)
+        return keys // n, keys % n, times
 
 
-def unmarked(term: bytes) -> bytes:
-    return term[:-1] if term[-1:] in (b"\x01", b"\x02") else term
-
-
-def known_counts(text: bytes, base: frozenset[bytes]) -> dict[bytes, int]:
-    """Counts of the terms in ``base`` that a text has, and their marks."""
-    words = words_of(text)
-    known = base & terms_of(words)
-    return with_repeats(term_counts(words, known)) if known else {}
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] to start[0] + count[0] - 1, and so on, in one array."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
 
 
 class BlockMaxIndex:
-    """Postings by word over examples of unit length, in blocks of BLOCK examples."""
+    """Postings by term over examples of unit length, with the largest weight of a term in each block of BLOCK examples (a spot).
+
+    Terms that stand in over one of COMMON examples have their weights in a row for all examples instead, so that the opened blocks
+    of many queries are multiplied together.
+    """
 
     def __init__(self, examples: list[Vector], words: int):
+        self.examples, self.words = examples, words
         self.n = len(examples)
         self.blocks = -(-self.n // BLOCK)
-        term = np.concatenate([t for t, _ in examples]) if self.n else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in examples]) if self.n else np.zeros(0)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in examples)])
         owner = np.repeat(np.arange(self.n), [len(t) for t, _ in examples])
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
-        # where the postings of a word in a block begin
-        self.start = np.searchsorted(term[order] * (self.blocks + 1) + self.owner // BLOCK, np.arange(words)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :])
-        self.bound = np.zeros((words, self.blocks))
-        np.maximum.at(self.bound, (term[order], self.owner // BLOCK), self.weight)
-
-    def nearest(self, query: Vector, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties by position, and the cosines."""
-        terms, weights = query
-        if not len(terms) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weights @ self.bound[terms]
-        ids, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-9:  # sums differ by rounding only
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                i, j = self.start[t, b], self.start[t, b + 1]
-                if i < j:
-                    scores[self.owner[i:j] - b * BLOCK] += w * self.weight[i:j]
-            if without // BLOCK == b and without >= 0:
-                scores[without % BLOCK] = 0
-            found = np.flatnonzero(scores > 0)
-            ids, cosines = np.concatenate([ids, found + b * BLOCK]), np.concatenate([cosines, scores[found]])
-            if len(ids) > k:
-                top = np.lexsort((ids, -np.round(cosines, 9)))[:k]
-                ids, cosines = ids[top], cosines[top]
-            least = cosines.min() if len(ids) >= k else 0.0
-        top = np.lexsort((ids, -np.round(cosines, 9)))
-        return ids[top], cosines[top]
+        common = np.flatnonzero(np.bincount(term, minlength=words) * COMMON > self.n)
+        self.row = np.full(words, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks * BLOCK))
+        is_common = self.row[term] >= 0
+        self.rows[self.row[term[is_common]], owner[is_common]] = weight[is_common]
+        self.row_bounds = self.rows.reshape(len(common), self.blocks, BLOCK).max(2) if self.n else np.zeros((0, 0))
+        term, owner, weight = (x[~is_common] for x in (term, owner, weight))
+        order = np.argsort(term, kind="stable")
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        block = self.owner // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.spots = np.searchsorted(term[first], np.arange(words + 1))  # where those of each term begin
+        self.block = block[first]
+        self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.at = np.append(first, len(term))  # where the postings of each spot begin
+
+    def __reduce__(self) -> tuple:
+        return BlockMaxIndex, (self.examples, self.words)  # the rows are larger and made again
+
+    def nearest(self, queries: list[Vector], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest cosine above 0, ties by position, and the cosines."""
+        many = len(queries)
+        if not self.n or not many:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * many
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        owner = np.repeat(np.arange(many), [len(t) for t, _ in queries])
+        rows = self.row[terms]
+        dense = np.zeros((many, len(self.rows)))
+        dense[owner[rows >= 0], rows[rows >= 0]] = weights[rows >= 0]
+        terms, weights, owner = (x[rows < 0] for x in (terms, weights, owner))
+        count = self.spots[terms + 1] - self.spots[terms]
+        spot, query, weight = _ranges(self.spots[terms], count), np.repeat(owner, count), np.repeat(weights, count)
+        cell = query * self.blocks + self.block[spot]
+        bounds = np.bincount(cell, weight * self.bound[spot], many * self.blocks).reshape(many, -1) + dense @ self.row_bounds
+        sums = np.zeros((many, self.blocks * BLOCK))
+
+        def open_(chosen: np.ndarray) -> None:
+            """Add the products in the chosen blocks of each query."""
+            for b in np.flatnonzero(chosen.any(0)):
+                of = np.flatnonzero(chosen[:, b])
+                columns = slice(b * BLOCK, (b + 1) * BLOCK)
+                sums[of, columns] += dense[of] @ self.rows[:, columns]
+            here = chosen.ravel()[cell]
+            count = self.at[spot[here] + 1] - self.at[spot[here]]
+            at = _ranges(self.at[spot[here]], count)
+            place = np.repeat(query[here] * sums.shape[1], count) + self.owner[at]
+            sums.ravel()[:] += np.bincount(place, np.repeat(weight[here], count) * self.weight[at], sums.size)
+
+        # the FIRST blocks of largest bounds give a least cosine; only blocks that reach it follow
+        opened = np.zeros((many, self.blocks), bool)
+        opened[np.arange(many)[:, None], np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]] = True
+        open_(opened)
+        least = np.maximum(np.partition(sums, -k, axis=1)[:, -k], 0) if sums.shape[1] > k else np.zeros(many)
+        open_(~opened & (bounds > 1e-12) & (bounds >= least[:, None] - 1e-9))
+        cosines = np.round(sums, 9)
+        least = np.partition(cosines, -k, axis=1)[:, -k] if sums.shape[1] > k else np.zeros(many)
+        out = []
+        for row, low in zip(cosines, least, strict=True):
+            found = np.flatnonzero((row >= low) & (row > 0))
+            found = found[np.argsort(-row[found], kind="stable")[:k]]
+            out.append((found, row[found]))
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    words: dict[bytes, int]
-    idf: np.ndarray
+    terms: list[bytes]
+    weight: np.ndarray  # idf * evidence
     index: BlockMaxIndex
     labels: np.ndarray
     ids: list[int]
@@ -130,32 +183,49 @@ class ToxicityModel:
     share: float = 0.0  # of toxic labels
     votes: np.ndarray | None = None  # calibration: votes and their scores, both rising
     scores: np.ndarray | None = None
-
-    def __post_init__(self) -> None:
-        self.base = frozenset(map(unmarked, self.words))
-
-    def vector(self, counts: dict[int, int]) -> Vector:
-        terms = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
-        norm = np.sqrt(weights @ weights)
-        return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
-
-    def counts(self, text: bytes) -> dict[int, int]:
-        return {self.words[t]: n for t, n in known_counts(text, self.base).items() if t in self.words}
-
-    def vote(self, query: Vector, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        ids, cosines = self.index.nearest(query, NEIGHBOURS, without)
-        if not len(ids):
-            return None, ids, cosines
+    vocabulary: Vocabulary | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vocabulary": None}
+
+    def score(self, texts: list[bytes]) -> list[tuple[float, list[int], list[float]]]:
+        """Of each text the score, and the ids and cosines of the nearest examples."""
+        if self.vocabulary is None:
+            self.vocabulary = Vocabulary(self.terms)
+        out = []
+        for part in slices(texts):
+            text, term, times = self.vocabulary.counts(part)
+            ends = np.searchsorted(text, np.arange(len(part) + 1))
+            queries = [unit(term[a:b], times[a:b], self.weight) for a, b in zip(ends, ends[1:], strict=False)]
+            for vote, ids, cosines in votes_of(self.index, self.labels, self.share, queries):
+                if vote is None or self.votes is None:
+                    out.append((self.alone, [], []))
+                else:
+                    out.append((float(np.interp(vote, self.votes, self.scores)), [self.ids[i] for i in ids[:3]], [round(float(c), 6) for c in cosines[:3]]))
+        return out
+
+
+def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> Vector:
+    """The vector of unit length of a text; terms without weight are left out."""
+    w = (1 + np.log(times)) * weight[terms]
+    terms, w = terms[w > 0], w[w > 0]
+    norm = np.sqrt(w @ w)
+    return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
+
+
+def votes_of(index: BlockMaxIndex, labels: np.ndarray, share: float, queries: list[Vector]) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+    """For each query the share of toxic labels among the nearest (None without any), and their positions and cosines."""
+    for ids, cosines in index.nearest(queries, NEIGHBOURS):
         weight = cosines**2
-        return float((weight @ self.labels[ids] + PRIOR_WEIGHT * self.share) / (weight.sum() + PRIOR_WEIGHT)), ids, cosines
+        yield float((weight @ labels[ids] + PRIOR_WEIGHT * share) / (weight.sum() + PRIOR_WEIGHT)) if len(ids) else None, ids, cosines
 
-    def score(self, text: bytes) -> tuple[float, list[int], list[float]]:
-        """Score, and the ids and cosines of the nearest examples."""
-        vote, ids, cosines = self.vote(self.vector(self.counts(text)))
-        if vote is None or self.votes is None:
-            return self.alone, [], []
-        return float(np.interp(vote, self.votes, self.scores)), [self.ids[i] for i in ids[:3]], [round(float(c), 6) for c in cosines[:3]]
+
+def evidence(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """What each term says of the label: 0 for terms of no example and for those with equal shares in both labels."""
+    held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), own in zip(vectors, labels, strict=True) if own == y)]), minlength=terms) for y in (0, 1)]
+    n = len(labels)
+    share = [(h / max(1, (labels == y).sum()) + SMOOTHING / n) for y, h in enumerate(held)]
+    return np.abs(np.log(share[1] / share[0]))
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,89 +242,112 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Choose the vocabulary, count it over all documents, and index the examples."""
+    """Index all terms of the examples, count their document frequencies over all documents, and calibrate."""
     sample, totals = labelled_sample(labels, "toxic", EXAMPLES)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most the sum of EXAMPLES ids
+    once = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    # an id may have several texts: the bound holds for texts as well
+    bounded = reduce(DataFrame.unionByName, [once.where(F.col("y") == y).orderBy(F.xxhash64("text"), "doc_id").limit(n) for y, n in EXAMPLES.items()])
 
     def tally(texts: list[bytes]) -> dict[str, list]:
-        counts = [with_repeats(term_counts(words_of(t))) for t in texts]
-        return {"words": [list(c) for c in counts], "times": [list(c.values()) for c in counts]}
+        counts = [Counter(terms_of(t)) for t in texts]
+        return {"terms": [list(c) for c in counts], "times": [list(c.values()) for c in counts]}
 
-    chosen = chosen.dropDuplicates(["text"])
-    rows = materialise(annotate(chosen, "text", ["doc_id", "y"], "words array<binary>, times array<int>", lambda: tally), "toxic-examples")
-    size = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
+    table = annotate(bounded, "text", ["doc_id", "y"], "terms array<binary>, times array<int>", lambda: tally).toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")])
+    y = np.array(table["y"].to_pylist(), int)
     known = sum(totals.values())
-    if not n1 or not n0:
-        share = totals.get(1, 0) / known if known else 0.0
-        return ToxicityModel({}, np.zeros(0), BlockMaxIndex([], 0), np.zeros(0), [], share)
-
-    by_word = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
-    n = n1 + n0
-    ratio = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
-    odds = (a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))
-    telling = by_word.withColumn("g", ratio).where((F.col("g") >= EVIDENCE) & ((odds >= ODDS) | (odds <= 1 / ODDS)) & ((a >= LEAST_SHARE * n1) | (b >= LEAST_SHARE * n0)))
-    words = sorted(bytes(r.word) for r in telling.orderBy(F.desc("g"), "word").limit(VOCABULARY).collect())
-    place = {w: i for i, w in enumerate(words)}
-
-    frequency, everything = _document_frequencies(docs, place)
+    share = totals.get(1, 0) / known if known else 0.0
+    if len(set(y.tolist())) < 2:
+        return ToxicityModel([], np.zeros(0), BlockMaxIndex([], 0), np.zeros(0), [], share, share)
+    terms, vectors = _vectors(table)
+    frequency, everything = _document_frequencies(docs, terms)
     idf = np.log((1 + everything) / (1 + frequency)) + 1
-    model = ToxicityModel(place, idf, BlockMaxIndex([], len(words)), np.zeros(0), [])
-    slim = rows.select("doc_id", "y", F.filter(F.arrays_zip("words", "times"), lambda p: p["words"].isin(*[bytearray(w) for w in words]) if words else F.lit(False)).alias("p"))
-    examples = []
-    for r in slim.orderBy("doc_id", "y").limit(sum(EXAMPLES.values())).collect():
-        examples.append((r.doc_id, r.y, model.vector({place[bytes(x["words"])]: x["times"] for x in r.p})))
-    _index(model, examples, totals)
-    return model
+    return fit(terms, vectors, y, table["doc_id"].to_pylist(), idf, totals)
 
 
-def _document_frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each word of the vocabulary stands, and the number of documents."""
+def _vectors(table: pa.Table) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct terms of the examples in order, and each example as places in them and counts."""
+    lists = table["terms"].combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    places, times = rank[coded.indices.to_numpy()], table["times"].combine_chunks().flatten().to_numpy().astype(float)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    vectors = []
+    for a, b in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
+        by_place = np.argsort(places[a:b])
+        vectors.append((places[a:b][by_place], times[a:b][by_place]))
+    return coded.dictionary.take(pa.array(order)).to_pylist(), vectors
 
-    def count(batches):
-        import pyarrow as pa
 
-        from conceptloom.llm.common import in_bytes
+def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term stands, and the number of documents. A number for each term comes to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-        total, rows, base = Counter(), 0, frozenset(map(unmarked, place))
+    def count(batches):
+        vocabulary = Vocabulary(shared.value)
+        held, rows = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in in_bytes(batch.column(0)):
-                total.update(place.keys() & known_counts(text, base).keys())
-        total[b""] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # VOCABULARY + 1 rows at most
-    by_word = {bytes(r.word): r.n for r in counts}
-    return np.array([by_word.get(w, 0) for w in place], float), by_word.get(b"", 0)
-
-
-def _index(model: ToxicityModel, examples: list[tuple], totals: dict[int, int]) -> None:
-    """Index the examples that have a word of the vocabulary, alike ones side by side, and calibrate."""
-    model.share = totals[1] / max(1, sum(totals.values()))
-    weight = {y: totals[y] / max(1, sum(e[1] == y for e in examples)) for y in totals}
-    bare = [e for e in examples if not len(e[2][0])]
-    held = sorted((e for e in examples if len(e[2][0])), key=lambda e: (e[1], int(e[2][0][np.argmax(e[2][1])]), e[0]))
-    toxic, all_bare = sum(weight[1] for e in bare if e[1]), sum(weight[e[1]] for e in bare)
-    model.alone = (toxic + 0.05) / (all_bare + 0.5) if all_bare else model.share
-    if not held:
-        return
-    model.index = BlockMaxIndex([e[2] for e in held], len(model.words))
-    model.labels, model.ids = np.array([e[1] for e in held], float), [e[0] for e in held]
-    votes = [(model.vote(e[2], i)[0], e[1]) for i, e in enumerate(held)]
-    seen = [(v, y) for v, y in votes if v is not None]
-    if seen:
-        v, y = (np.array(x, float) for x in zip(*seen, strict=True))
-        model.votes, model.scores = calibrate(v, y, np.array([weight[int(k)] for k in y]))
+            for texts in slices(list(in_bytes(batch.column(0)))):
+                held += np.bincount(vocabulary.counts(texts)[1], minlength=len(held))
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([*found.tolist(), -1], pa.int32()), pa.array([*held[found].tolist(), rows], pa.int64())], names=["term", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    places, times = counts["term"].to_numpy(), counts["n"].to_numpy()
+    out = np.zeros(len(terms))
+    out[places[places >= 0]] = times[places >= 0]
+    return out, int(times[places < 0].sum())
+
+
+def fit(terms: list[bytes], vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: list[int], idf: np.ndarray, totals: dict[int, int]) -> ToxicityModel:
+    """The index of all examples that have a term, alike ones side by side, and votes calibrated by cross-fitting."""
+    share = totals[1] / max(1, sum(totals.values()))
+    weight = {label: totals[label] / max(1, (y == label).sum()) for label in totals}
+
+    def index_of(chosen: np.ndarray) -> tuple[np.ndarray, BlockMaxIndex, np.ndarray]:
+        w = idf * evidence([vectors[i] for i in chosen], y[chosen], len(terms))
+        units = {int(i): unit(*vectors[i], w) for i in chosen}
+        held = sorted((i for i in units if len(units[i][0])), key=lambda i: (y[i], int(units[i][0][np.argmax(units[i][1])]), i))
+        return w, BlockMaxIndex([units[i] for i in held], len(terms)), np.array(held, int)
+
+    w, index, held = index_of(np.arange(len(y)))
+    votes, truth = [], []
+    bare = dict.fromkeys(totals, 0)
+    fold = np.arange(len(y)) % FOLDS  # examples are in the order of label and id
+    for f in range(FOLDS):
+        part, part_index, part_held = index_of(np.flatnonzero(fold != f))
+        own = np.flatnonzero(fold == f)
+        for at in range(0, len(own), TEXTS):
+            here = own[at : at + TEXTS]
+            for i, (vote, _, _) in zip(here, votes_of(part_index, y[part_held], share, [unit(*vectors[i], part) for i in here]), strict=True):
+                if vote is None:
+                    bare[int(y[i])] += 1
+                else:
+                    votes.append(vote)
+                    truth.append(int(y[i]))
+    all_bare = sum(bare[label] * weight[label] for label in bare)
+    alone = (bare[1] * weight[1] + 0.5 * share) / (all_bare + 0.5)
+    model = ToxicityModel(terms, w, index, y[held].astype(float), [ids[i] for i in held], alone, share)
+    if votes:
+        model.votes, model.scores = calibrate(np.array(votes), np.array(truth, float), np.array([weight[k] for k in truth]))
+    return model
+
+
+def _scorer(docs: DataFrame, model: ToxicityModel) -> Callable[[list[bytes]], list[tuple[float, list[int], list[float]]]]:
+    """The model's score on executors, where it is unpacked once a process. Its size is bounded by EXAMPLES."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda texts: shared.value.score(texts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """``keep`` of every document, with ``score``, ``predicted`` (1: toxic, from THRESHOLD), and the nearest examples as evidence."""
+    score = _scorer(docs, model)
 
     def columns(texts: list[bytes]) -> dict[str, list]:
-        scored = [model.score(t) for t in texts]
+        scored = score(texts)
         return {"score": [s for s, _, _ in scored], "predicted": [int(s >= THRESHOLD) for s, _, _ in scored], "neighbours": [i for _, i, _ in scored], "cosines": [c for _, _, c in scored]}
 
     return annotate(docs, "text", keep, "score double, predicted int, neighbours array<long>, cosines array<double>", lambda: columns)
@@ -262,7 +355,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> Da
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return annotate(docs, "text", docs.columns, "", lambda: lambda texts: {"score": [model.score(t)[0] for t in texts]}, lambda c: [s < THRESHOLD for s in c["score"]])
+    score = _scorer(docs, model)
+    return annotate(docs, "text", docs.columns, "", lambda: lambda texts: {"score": [s for s, _, _ in score(texts)]}, lambda c: [s < THRESHOLD for s in c["score"]])
 
 
 def op2_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import pickle
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -77,7 +79,7 @@ def test_held_out_labels_are_not_learned_from(spark, corpus):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     lying = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, lying)
-    assert a.words == b.words and a.ids == b.ids and a.labels.tolist() == b.labels.tolist()
+    assert a.terms == b.terms and a.weight.tolist() == b.weight.tolist() and a.ids == b.ids and a.labels.tolist() == b.labels.tolist()
 
 
 def test_block_max_neighbours_are_exact():
@@ -95,16 +97,84 @@ def test_block_max_neighbours_are_exact():
     dense = np.zeros((len(examples), words))
     for i, (t, w) in enumerate(examples):
         dense[i, t] = w
-    for k in range(60):
-        t, w = vector()
-        without = k if k % 2 else -1
+    queries = [vector() for _ in range(60)] + [(np.zeros(0, int), np.zeros(0))]
+    for (t, w), (ids, got) in zip(queries, index.nearest(queries, 15), strict=True):
         cosines = dense[:, t] @ w
-        if without >= 0:
-            cosines[without] = 0
         order = [i for i in np.lexsort((np.arange(len(cosines)), -np.round(cosines, 9))) if cosines[i] > 0][:15]
-        ids, got = index.nearest((t, w), 15, without)
-        assert got == pytest.approx(cosines[order]) and np.round(got, 9).tolist() == np.round(cosines[order], 9).tolist()
+        assert got == pytest.approx(cosines[order], abs=1e-8)
         assert ids.tolist() == order
+    again = pickle.loads(pickle.dumps(index)).nearest(queries, 15)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(again, index.nearest(queries, 15), strict=True))
+
+
+def test_scores_of_the_query_equal_brute_force(spark, tmp_path):
+    """Counts, weights, cosines, votes and calibration from their definitions, over dense vectors of all terms."""
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("abcdéfgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(300):
+        toxic = int(rng.random() < 0.3)
+        w = [rng.choice(plain) for _ in range(rng.randrange(0, 60))] + ["vile"] * (2 * toxic)
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic if rng.random() < 0.95 else 1 - toxic))
+    docs += [(300, docs[0][1]), (301, None), (302, ""), (303, " ".join(plain * 200)), (7, docs[7][1])]
+    labels += [(300, 1 - labels[0][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.doc_id, r.score) for r in toxicity.op2_toxic_neighbours(spark, str(tmp_path)).collect()}
+
+    stems = lambda text: Counter(x[:5] for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower()))
+    free = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    text_of, by_text = dict(docs), {}
+    for i, toxic in labels:
+        if free(i):
+            by_text.setdefault(text_of[i], []).append((i, toxic))
+    examples = sorted((int(np.mean([t for _, t in v]) >= 0.5), min(i for i, _ in v), stems(k)) for k, v in by_text.items())
+    totals = [sum(free(i) and t == y for i, t in labels) for y in (0, 1)]
+    terms = sorted({t for *_, c in examples for t in c})
+    idf = {t: np.log((1 + len(docs)) / (1 + sum(t in stems(x) for _, x in docs))) + 1 for t in terms}
+
+    def weights_of(chosen):
+        n = [sum(y == k for y, *_ in chosen) for k in (0, 1)]
+        share = lambda t, k: sum(t in c for y, _, c in chosen if y == k) / max(1, n[k]) + 20 / len(chosen)
+        return {t: idf[t] * abs(np.log(share(t, 1) / share(t, 0))) for t in terms}
+
+    def unit(counts, weight):
+        v = np.array([(1 + np.log(counts[t])) * weight[t] if t in counts else 0.0 for t in terms])
+        return v / np.sqrt(v @ v) if v.any() else None
+
+    share = totals[1] / sum(totals)
+
+    def model(chosen):
+        weight = weights_of(chosen)
+        held = [(y, int(np.argmax(u)), i, u) for y, i, c in chosen if (u := unit(c, weight)) is not None]
+        held.sort(key=lambda e: e[:3])
+
+        def vote(counts):
+            q = unit(counts, weight)
+            cosines = [] if q is None else [(round(float(u @ q), 9), -at, y) for at, (y, _, _, u) in enumerate(held)]
+            near = [(c, y) for c, _, y in sorted(cosines, reverse=True)[:15] if c > 0]
+            return (sum(c * c * y for c, y in near) + 0.1 * share) / (sum(c * c for c, _ in near) + 0.1) if near else None
+
+        return vote
+
+    size = [sum(y == k for y, *_ in examples) for k in (0, 1)]
+    votes, bare = [], [0, 0]
+    for f in range(4):
+        vote = model([e for at, e in enumerate(examples) if at % 4 != f])
+        for y, _, c in examples[f::4]:
+            if (v := vote(c)) is None:
+                bare[y] += 1
+            else:
+                votes.append((v, y, totals[y] / size[y]))
+    x, y = toxicity.calibrate(*(np.array(c, float) for c in zip(*votes, strict=True)))
+    loose = [n * totals[k] / size[k] for k, n in enumerate(bare)]
+    alone = (loose[1] + 0.5 * share) / (sum(loose) + 0.5)
+    vote = model(examples)
+    want = {i: alone if (v := vote(stems(t))) is None else float(np.interp(v, x, y)) for i, t in docs}
+    assert len(got) == len(want)
+    for i, score in got:
+        assert score == pytest.approx(want[i], abs=1e-6), i
 
 
 def test_calibration_rises():
@@ -123,6 +193,7 @@ def test_bradley_terry_orders_items():
     assert np.abs(w - truth).max() < 0.25
 
 
-def test_terms_are_words_and_stems():
-    assert toxicity.terms_of([b"scum", b"loweiig"]) == {b"scum", b"lowe", b"lowei", b"loweiig"}
-    assert toxicity.term_counts([b"lowei", b"loweiig", b"a"]) == Counter({b"lowe": 2, b"lowei": 2, b"loweiig": 1, b"a": 1})
+def test_terms_are_stems_of_all_words():
+    assert toxicity.terms_of(b"Loweiig a lowei, a") == [b"lowei", b"a", b"lowei", b"a"]
+    text, term, times = toxicity.Vocabulary([b"a", b"lowei", b"z"]).counts([b"", b"Loweiig a b lowei", b"z"])
+    assert list(zip(text.tolist(), term.tolist(), times.tolist(), strict=True)) == [(1, 0, 1), (1, 1, 2), (2, 2, 1)]
