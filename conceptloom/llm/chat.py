@@ -11,7 +11,8 @@ character (one more where there are backslashes), which is taken out again on re
 
 Edge cases: null texts and roles are empty; events that precede any message of their target are dropped; events of equal sequence
 follow by kind (message first), role and text, and repeated ``message`` events are messages of their own; an empty log gives an empty
-result; a null conversation id is a conversation of its own; extra columns are ignored.
+result; a null conversation id is a conversation of its own; events of a null or unknown kind are no events of this log and are dropped;
+extra columns are ignored. A message of any length is folded in the memory of one task.
 """
 
 from __future__ import annotations
@@ -175,10 +176,36 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
     return ordered.mapInArrow(of, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) to a log, out of order, whose final messages are the rows by turn, role and text.
+
+    A hash decides whether a message arrives whole, in two parts, as a wrong draft that an edit replaces, or as one that is regenerated
+    in two parts. Messages are numbered by turn and, within a turn, by role and text, so turns must be below 2**35 either way and a
+    conversation may have 2**25 rows of one turn. Rows without a turn come first and arrive whole.
+    """
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    opened = F.col("turn").cast("long") * (1 << 28) + nth * 8
+    text = F.coalesce("text", F.lit(""))
+    head, rest = F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)")
+    step = lambda at, kind, words: F.struct(
+        (F.col("opened") + at).alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(kind != "message"), F.col("opened")).alias("target"), F.when(F.lit(kind == "message"), F.col("role")).alias("role"), words.alias("text")
+    )
+    wrong = F.concat(F.lit("draft "), rest)
+    ways = (
+        [step(0, "message", F.col("text"))],
+        [step(1, "delta", rest), step(0, "message", head)],
+        [step(2, "edit", F.col("text")), step(1, "delta", head), step(0, "message", wrong)],
+        [step(3, "delta", rest), step(2, "regenerate", head), step(1, "delta", F.lit("?")), step(0, "message", wrong)],
+    )
+    way = F.when(F.col("opened").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(len(ways))))
+    events = F.coalesce(*[F.when(way == i, F.array(*steps)) for i, steps in enumerate(ways)])
+    numbered = rows.select("conv_id", "turn", "role", text.alias("text")).withColumn("opened", opened)
+    return numbered.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, each row one message event, and a conversation whose texts imitate control strings."""
+    """All conversations as logs of messages, deltas, edits and regenerations, and a conversation whose texts imitate control strings."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
-    events = rows.unionByName(planted).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
-    return digest_conversations(format_conversations(events))
+    return digest_conversations(format_conversations(event_log(rows.unionByName(planted))))
