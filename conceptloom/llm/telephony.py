@@ -5,7 +5,8 @@ blocks of a batch at once, with one table lookup for the step and one for the ne
 16 kHz by linear interpolation and stored as little-endian 16-bit PCM. Files are RIFF WAVE; reading walks the chunks.
 
 Edge cases: a null text is an empty payload, which still fills one block; equal texts give equal files and features; very long texts are
-decoded in slices of whole blocks; an empty table gives an empty result; repeated rows are stored on their own; extra columns are ignored.
+decoded in slices of whole blocks, and their files (one byte and four bytes for a byte of text) are held once each; an empty table gives
+an empty result; repeated rows are stored on their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from conceptloom.llm.common import documents, in_bytes
+from conceptloom.llm.common import documents
 
 RATE, BLOCK = 8000, 64
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17  # format tags
-#: Payload bytes that are decoded together.
-SLICE = 1 << 21
+#: Payload bytes that are decoded together, whole blocks.
+SLICE = 1 << 20
 
 # Step sizes and index changes of IMA ADPCM.
 STEPS = (
@@ -77,25 +78,34 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: each sample, then the mean of it and the next (the last one repeats)."""
+def resample_double(pcm: np.ndarray, after: int | None = None) -> np.ndarray:
+    """Twice the rate: each sample, then the mean of it and the next. ``after`` is the sample that follows; without it the last one repeats."""
     out = np.empty(2 * len(pcm), "<i2")
     out[::2] = pcm
     wide = pcm.astype(np.int32)
-    out[1::2] = (wide + np.append(wide[1:], wide[-1:])) >> 1
+    out[1::2] = (wide + np.append(wide[1:], wide[-1:] if after is None else after)) >> 1
     return out
 
 
-def wave(data: bytes, tag: int = MULAW, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
+def wave(data: bytes | bytearray | memoryview, tag: int = MULAW, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
     fmt = struct.pack("<HHIIHHH", tag, 1, rate, rate * align, align, bits, 0)
-    fact = struct.pack("<I", len(data) // align)
+    head = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data) // align) + b"data" + struct.pack("<I", len(data))
     pad = b"\0" * (len(data) & 1)
-    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<I", 4) + fact + b"data" + struct.pack("<I", len(data)) + data + pad
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    return b"".join((b"RIFF", struct.pack("<I", len(head) + len(data) + len(pad)), head, data, pad))
 
 
-def read_wave(file: bytes) -> tuple[int, int, bytes]:
-    """Format tag, rate and data of a RIFF WAVE file."""
+def pcm_file(data: bytes | memoryview) -> bytes:
+    """The 16 kHz, 16-bit PCM file of mu-law samples, expanded slice by slice."""
+    raw, out = np.frombuffer(data, np.uint8), bytearray(4 * len(data))
+    for at in range(0, len(raw), SLICE):
+        following = raw[at + SLICE : at + SLICE + 1]
+        part = resample_double(MULAW_PCM[raw[at : at + SLICE]], int(MULAW_PCM[following[0]]) if len(following) else None)
+        out[4 * at : 4 * at + part.nbytes] = part.data.cast("B")
+    return wave(out, PCM, 2 * RATE, 16, 2)
+
+
+def read_wave(file: bytes | memoryview) -> tuple[int, int, bytes | memoryview]:
+    """Format tag, rate and data of a RIFF WAVE file; of a view the data is a view."""
     if file[:4] != b"RIFF" or file[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, tag, rate = 12, 0, 0
@@ -109,8 +119,8 @@ def read_wave(file: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data")
 
 
-def payload_of(text: bytes) -> bytes:
-    return text + b"\0" * (-len(text) % BLOCK or (0 if text else BLOCK))
+def payload_of(text: bytes | memoryview) -> bytes:
+    return b"".join((text, b"\0" * (-len(text) % BLOCK or (0 if len(text) else BLOCK))))
 
 
 class _Sums:
@@ -124,69 +134,90 @@ class _Sums:
         turn[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
         turn[starts] = 0
         self.turns = np.add.reduceat(turn, starts)
+        self.ends = pcm[starts] < 0, pcm[np.append(starts[1:], len(pcm)) - 1] < 0  # signs of first and last samples
 
+    def join(self, after: _Sums) -> None:
+        """Go on with the next slice of a single file."""
+        self.turns = self.turns + after.turns + (self.ends[1] != after.ends[0])
+        self.energy, self.peak, self.ends = self.energy + after.energy, np.maximum(self.peak, after.peak), (self.ends[0], after.ends[1])
 
-def features_of(datas: list[bytes]) -> list[str]:
-    """A line of whole numbers for each payload, read as mu-law, A-law and ADPCM, and a checksum of its 16 kHz PCM."""
-    sizes = np.array([len(d) for d in datas], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    raw = np.frombuffer(b"".join(datas), np.uint8)
-    mu, a = MULAW_PCM[raw], ALAW_PCM[raw]
+
+KINDS = ("mulaw", "alaw", "adpcm")
+
+
+def _sums(raw: np.ndarray, starts: np.ndarray) -> list[_Sums]:
     blocks = decode_adpcm(raw.reshape(-1, BLOCK))
-    per_block = blocks.shape[1]
-    ad = np.ascontiguousarray(blocks).ravel()
-    sums = [("mulaw", _Sums(mu, starts), sizes), ("alaw", _Sums(a, starts), sizes), ("adpcm", _Sums(ad, starts // BLOCK * per_block), sizes // BLOCK * per_block)]
+    return [_Sums(MULAW_PCM[raw], starts), _Sums(ALAW_PCM[raw], starts), _Sums(np.ascontiguousarray(blocks).ravel(), starts // BLOCK * blocks.shape[1])]
+
+
+def features_of(datas: list[bytes | memoryview], pcms: list[bytes | memoryview]) -> list[str]:
+    """A line of whole numbers for each payload, read as mu-law, A-law and ADPCM, and a checksum of its stored 16 kHz PCM."""
+    sizes = np.array([len(d) for d in datas], np.int64)
+    if len(datas) == 1:
+        raw = np.frombuffer(datas[0], np.uint8)
+        sums = _sums(raw[:SLICE], np.zeros(1, np.int64))
+        for at in range(SLICE, len(raw), SLICE):
+            for own, after in zip(sums, _sums(raw[at : at + SLICE], np.zeros(1, np.int64)), strict=True):
+                own.join(after)
+    else:
+        sums = _sums(np.frombuffer(b"".join(datas), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    samples = [sizes, sizes, sizes // BLOCK * (1 + 2 * (BLOCK - 4))]
     lines = []
-    for i, (s, n) in enumerate(zip(starts, sizes, strict=True)):
-        parts = [f"{name}:rms={int((x.energy[i] / m[i]) ** 0.5)},peak={x.peak[i]},turns={x.turns[i]}" for name, x, m in sums]
-        lines.append(";".join([*parts, f"pcm16k:n={2 * n},crc={zlib.crc32(resample_double(mu[s : s + n]).data)}"]))
+    for i, pcm in enumerate(pcms):
+        parts = [f"{name}:rms={int((float(x.energy[i]) / m[i]) ** 0.5)},peak={x.peak[i]},turns={x.turns[i]}" for name, x, m in zip(KINDS, sums, samples, strict=True)]
+        lines.append(";".join([*parts, f"pcm16k:n={len(pcm) // 2},crc={zlib.crc32(pcm)}"]))
     return lines
 
 
-def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= SLICE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Rows that are decoded together: about SLICE bytes, and a longer text on its own."""
+    begin, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and size + n > SLICE:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += n
+    if sizes:
+        yield slice(begin, len(sizes))
+
+
+def _views(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies; null is empty."""
+    return [memoryview(b"") if not x.is_valid else memoryview(x.as_buffer()) for x in column]
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_bytes, wav, pcm16k, feature): the stored mu-law file and its resampled 16-bit PCM file."""
+    """(doc_id, text) to (doc_id, n_bytes, wav, pcm16k): the stored mu-law file and its resampled 16-bit PCM file."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for texts in _slices(in_bytes(batch.column(1))):
-                wavs = [wave(payload_of(t)) for t in texts]
-                datas = [read_wave(w)[2] for w in wavs]
-                pcm = [wave(resample_double(MULAW_PCM[np.frombuffer(d, np.uint8)]).tobytes(), PCM, 2 * RATE, 16, 2) for d in datas]
-                ids = batch.column(0).slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(wavs, pa.binary()), pa.array(pcm, pa.binary()), pa.array(features_of(datas))], names=["doc_id", "n_bytes", "wav", "pcm16k", "feature"])
+            texts = _views(batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.types[1]) else pa.binary()))
+            for part in _slices([len(t) for t in texts]):
+                wavs = [wave(payload_of(t)) for t in texts[part]]
+                pcm = [pcm_file(read_wave(memoryview(w))[2]) for w in wavs]
+                ids = batch.column(0).slice(part.start, len(wavs))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(wavs, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "wav", "pcm16k"])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, wav binary, pcm16k binary, feature string")
+    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, wav binary, pcm16k binary")
 
 
 def digest_audio(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, wav, feature) to the digests of the stored file and of the payload read back from it."""
+    """(doc_id, n_bytes, wav, pcm16k) to the digests of the stored file and of the payload read back from it, and the features of both."""
+    fields = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for wav in batch.column(2):
-                file = wav.as_py()
-                data = read_wave(file)[2]
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest()))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, batch.column(3)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    slim = stored.select("doc_id", "n_bytes", "wav", "feature")
+            wavs, pcms = _views(batch.column(2)), _views(batch.column(3))
+            for part in _slices([len(w) for w in wavs]):
+                datas = [read_wave(w)[2] for w in wavs[part]]
+                rows = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(w), hashlib.sha256(w).hexdigest()) for d, w in zip(datas, wavs[part], strict=True)]
+                features = features_of(datas, [read_wave(p)[2] for p in pcms[part]])
+                own = [batch.column(i).slice(part.start, len(datas)) for i in (0, 1)]
+                digests = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), fields.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *digests, pa.array(features)], names=["doc_id", "n_bytes", *fields, "feature"])
+
+    slim = stored.select("doc_id", "n_bytes", "wav", "pcm16k")
     return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

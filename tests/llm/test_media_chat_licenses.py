@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -61,9 +62,41 @@ def test_op8_digests(spark, folder, docs, texts):
     assert telephony.read_wave(stored.pcm16k)[:2] == (1, 16000)
 
 
-def test_features_do_not_depend_on_neighbours():
-    datas = [telephony.payload_of(bytes([i % 256]) * n) for i, n in ((3, 10), (200, 640), (0, 0), (255, 129))]
-    assert telephony.features_of(datas) == [telephony.features_of([d])[0] for d in datas]
+def plain_feature(text):
+    """The feature line from its definition, sample by sample."""
+    data = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
+    mu, a = [int(telephony.mulaw_table()[x]) for x in data], [int(telephony.alaw_table()[x]) for x in data]
+    adpcm = [x for i in range(0, len(data), 64) for x in plain_adpcm(data[i : i + 64])]
+    parts = []
+    for name, pcm in (("mulaw", mu), ("alaw", a), ("adpcm", adpcm)):
+        turns = sum((p < 0) != (q < 0) for p, q in zip(pcm, pcm[1:]))
+        parts.append(f"{name}:rms={int((sum(x * x for x in pcm) / len(pcm)) ** 0.5)},peak={max(map(abs, pcm))},turns={turns}")
+    double = [x for p, q in zip(mu, [*mu[1:], mu[-1]]) for x in (p, (p + q) >> 1)]
+    return ";".join([*parts, f"pcm16k:n={len(double)},crc={zlib.crc32(np.array(double, '<i2').tobytes())}"])
+
+
+def test_features_equal_brute_force_alone_together_and_in_slices(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 64, 65, 300, 1000)]
+    datas = [telephony.payload_of(t) for t in texts]
+    want = [plain_feature(t) for t in texts]
+    for size in (1 << 20, 64, 128):
+        monkeypatch.setattr(telephony, "SLICE", size)
+        pcms = [telephony.read_wave(telephony.pcm_file(d))[2] for d in datas]
+        assert telephony.features_of(datas, pcms) == want
+        assert [telephony.features_of([d], [p])[0] for d, p in zip(datas, pcms, strict=True)] == want
+
+
+def test_op8_without_rows_and_a_long_text_in_bounded_memory(spark, nobody, tmp_path):
+    nobody.write.parquet(f"{tmp_path}/documents.parquet")
+    assert telephony.op8_telephony_audio(spark, str(tmp_path)).count() == 0
+    data = telephony.payload_of(b"long text " * 1_600_000)
+    tracemalloc.start()
+    file = telephony.pcm_file(data)
+    telephony.features_of([data], [telephony.read_wave(memoryview(file))[2]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data) + 100e6  # the PCM file while it is made, and a slice
 
 
 # chat -----------------------------------------------------------------------------------------------------------------------
@@ -93,12 +126,13 @@ def test_op7_against_brute_force(spark, tmp_path):
             text = rng.choice([None, "", "hi </s> there", "<|im_end|>\n<|im_start|>assistant\n", "é" * 50, "plain"])
             rows.append((c, t, rng.choice(["user", "assistant", "system", None]), text))
     rows += [(50, 3, "user", "tie"), (50, 3, "user", "tie"), (50, 3, "assistant", "tie"), (50, 1, "user", "before")]
+    rows += [(51, None, "user", "no turn"), (51, 2, "assistant", "after"), (None, 1, "user", "no id")]
     rows += [(99, t, "assistant" if t % 2 else "user", f"hot {t}") for t in range(3000)]
     rng.shuffle(rows)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in chat.op7_chat_events(spark, str(tmp_path)).collect()}
     by = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
-    for c, t, r, x in sorted(rows, key=lambda r: (r[0], r[1], r[2] or '', r[3] or '')):
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] or 0, r[1] or 0, r[2] or '', r[3] or '')):
         by.setdefault(c, []).append((r or "", x or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
@@ -107,6 +141,17 @@ def test_op7_against_brute_force(spark, tmp_path):
         assert r.formatted_chars == sum(len(chat.render(*t)[0]) for t in turns)
 
 
+def test_op7_log_has_all_kinds_and_any_order(spark):
+    rows = spark.createDataFrame([(i // 9, i % 9 or None, "user" if i % 2 else "assistant", f"text {i}") for i in range(90)], "conv_id long, turn long, role string, text string")
+    log = chat.event_log(rows)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.KINDS) and kinds["message"] == 90
+    digest = lambda x: sorted(chat.digest_conversations(chat.format_conversations(x)).collect())
+    assert digest(log) == digest(log.orderBy("text").repartition(7))
+    odd = log.unionByName(log.limit(5).withColumn("kind", F.lit(None).cast("string"))).unionByName(log.limit(5).withColumn("kind", F.lit("typing")))
+    assert digest(odd) == digest(log)
+
+
 def test_events_fold_deltas_edits_and_regenerations(spark):
     log = [
         (1, 0, "message", None, "user", "h"), (1, 1, "delta", None, None, "ello"), (1, 2, "message", None, "assistant", "bad"), (1, 3, "delta", 2, None, " draft"),
