@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from conceptloom.storage import materialise, shared_dir
 
-__all__ = ["annotate", "bind", "documents", "held_out", "in_bytes", "labelled_sample", "materialise", "power_of_two", "ranked", "shared_dir"]
+__all__ = ["annotate", "bind", "documents", "held_out", "in_bytes", "labelled_sample", "labelled_texts", "materialise", "power_of_two", "ranked", "shared_dir"]
 
 
 def in_bytes(texts: pa.Array) -> Iterator[bytes]:
@@ -52,6 +52,16 @@ def labelled_sample(labels: DataFrame, label: str, caps: dict[int, int]) -> tupl
     return reduce(DataFrame.unionByName, parts), {y: counts.get(y, 0) for y in caps}
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, caps: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, text) of at most ``caps[y]`` different texts of each label that are not held out, and how many ids of each label
+    there are in all. Equal texts are one, with their smallest id and the label most of their ids have (1 if equal)."""
+    sample, totals = labelled_sample(labels, label, caps)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most the sum of caps ids
+    once = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    # an id may have several texts: the bound holds for texts as well
+    return reduce(DataFrame.unionByName, [once.where(F.col("y") == y).orderBy(F.xxhash64("text"), "doc_id").limit(n) for y, n in caps.items()]), totals
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

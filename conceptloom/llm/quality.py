@@ -5,11 +5,13 @@ of each feature of the whole text, and the probability of a win is the logistic
 fitted by logistic loss on feature differences. The score quantile at which the labels are told apart best is the threshold; the
 reported score is the logistic function of the distance from it.
 
-The fit uses at most ``EXAMPLES`` labelled documents of each label and ``PAIRS`` pairs of them, on the driver; class counts cover
-all labels. Labels of held-out ids, languages, sources and ids are never used.
+The fit uses at most ``EXAMPLES`` labelled texts of each label and all pairs of them, on the driver. Labels of held-out ids, languages,
+sources and ids are never used.
 
 Edge cases: null and empty texts have all features 0 and get the score that goes with them; without labels of both kinds every
-document scores 0.5; repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored.
+document scores 0.5; equal labelled texts are one example, with the label most of its ids have (good if equal); of several quantiles that
+tell the labels apart alike the middle one is taken; repeated rows get equal scores; very long texts are read whole, in memory in
+proportion to the text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import annotate, documents, held_out, labelled_sample
+from conceptloom.llm.common import annotate, documents, held_out, labelled_texts
 
-EXAMPLES, PAIRS, BINS, WINDOW = 4000, 40_000, 8, 50
+EXAMPLES, BINS, WINDOW = 4000, 8, 50
+#: Weight of the squared weights in the loss, per pair, and rows of a block of pairs.
+RIDGE, ROWS = 1 / 40_000, 500
 
 _CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, 9), "line": (10,), "stop": b".?", "bang": b"!", "comma": b",;:",
@@ -60,6 +64,7 @@ class PairwiseModel:
     weights: list[np.ndarray]  # of the bins of each feature
     threshold: float
     slope: float
+    level: float = 0.0  # of the threshold: the share of the examples that score lower
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return sum(w[np.searchsorted(c, x[:, j], side="left")] for j, (c, w) in enumerate(zip(self.cuts, self.weights, strict=True))) + np.zeros(len(x))
@@ -72,13 +77,26 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def bradley_terry(differences: np.ndarray, ridge: float = 1.0, steps: int = 15) -> np.ndarray:
-    """Weights that maximise the likelihood of all wins: Newton steps on the logistic loss."""
-    w = np.zeros(differences.shape[1])
+def bradley_terry(winners: np.ndarray, losers: np.ndarray, ridge: float = RIDGE, steps: int = 15) -> np.ndarray:
+    """Weights that maximise the likelihood that every winner beats every loser: Newton steps on the logistic loss of all feature
+    differences, summed block by block of winners, so pairs are never listed."""
+    w = np.zeros(winners.shape[1])
+    ridge *= len(winners) * len(losers)
     for _ in range(steps):
-        p = _logistic(differences @ w)
-        gradient = differences.T @ (1 - p) - ridge * w
-        curvature = (differences * (p * (1 - p))[:, None]).T @ differences + ridge * np.eye(len(w))
+        below = losers @ w
+        gradient, curvature = -ridge * w, ridge * np.eye(len(w))
+        cross, lost, spent = np.zeros_like(curvature), np.zeros(len(losers)), np.zeros(len(losers))
+        for at in range(0, len(winners), ROWS):
+            x = winners[at : at + ROWS]
+            p = _logistic((x @ w)[:, None] - below[None, :])
+            c = p * (1 - p)
+            gradient += x.T @ (1 - p).sum(1)
+            lost += (1 - p).sum(0)
+            curvature += (x * c.sum(1)[:, None]).T @ x
+            spent += c.sum(0)
+            cross += x.T @ (c @ losers)
+        gradient -= losers.T @ lost
+        curvature += (losers * spent[:, None]).T @ losers - cross - cross.T
         step = np.linalg.solve(curvature, gradient)
         w += step
         if np.abs(step).max() < 1e-4:
@@ -86,19 +104,17 @@ def bradley_terry(differences: np.ndarray, ridge: float = 1.0, steps: int = 15)
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> PairwiseModel:
+def fit(x: np.ndarray, y: np.ndarray) -> PairwiseModel:
     """Feature rows and labels to a model."""
     if len(set(y.tolist())) < 2:
         return PairwiseModel([np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 0.0, 1.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     at = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
-    hot = np.zeros((len(x), at[-1]), np.float32)
+    hot = np.zeros((len(x), at[-1]))
     for j, c in enumerate(cuts):
         hot[np.arange(len(x)), at[j] + np.searchsorted(c, x[:, j], side="left")] = 1
-    rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    n = min(PAIRS, len(good) * len(bad))
-    w = bradley_terry(hot[rng.choice(good, n)] - hot[rng.choice(bad, n)])
+    good, bad = hot[y == 1], hot[y == 0]
+    w = bradley_terry(good, bad)
     model = PairwiseModel(cuts, [w[a:b] for a, b in zip(at, at[1:], strict=False)], 0.0, 1.0)
     s = model.raw(x)
     order = np.argsort(s, kind="stable")
@@ -108,18 +124,17 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> PairwiseModel:
     possible = np.concatenate([[True], ranked[1:] > ranked[:-1], [True]])
     best = np.flatnonzero(possible & (balance >= balance[possible].max() - 1e-12))
     cut = best[len(best) // 2]
-    model.threshold = float(np.quantile(ranked, cut / len(ranked))) if 0 < cut < len(ranked) else float(ranked[0] if cut == 0 else ranked[-1] + 1e-9)
-    if 0 < cut < len(ranked):
-        model.threshold = float((ranked[cut - 1] + ranked[cut]) / 2)
+    # the quantile between the scores on both sides of the cut
+    model.level = (cut - 0.5) / (len(ranked) - 1)
+    model.threshold = float(np.quantile(ranked, min(max(model.level, 0), 1))) + (1e-9 if model.level > 1 else 0)
     model.slope = float(np.clip(2.0 / max(1e-6, np.std(s)), 0.05, 5.0))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> PairwiseModel:
     """Fit on a bounded sample of the labelled documents; the sample is broadcast, at most 2 * EXAMPLES ids."""
-    sample, _ = labelled_sample(labels, "quality", {0: EXAMPLES, 1: EXAMPLES})
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = annotate(chosen, "text", ["doc_id", "y"], "x array<double>", lambda: lambda texts: {"x": list(features(texts))}).orderBy("doc_id", "y", "x").limit(2 * EXAMPLES).collect()
+    chosen, _ = labelled_texts(docs, labels, "quality", {0: EXAMPLES, 1: EXAMPLES})
+    rows = annotate(chosen, "text", ["doc_id", "y"], "x array<double>", lambda: lambda texts: {"x": list(features(texts))}).orderBy("y", "doc_id", "x").collect()
     x, y = np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], int)
     return fit(x, y)
 

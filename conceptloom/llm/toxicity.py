@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import annotate, documents, held_out, in_bytes, labelled_sample
+from conceptloom.llm.common import annotate, documents, held_out, in_bytes, labelled_texts
 from conceptloom.llm.licenses import words_of
 
 EXAMPLES = {0: 1600, 1: 800}
@@ -243,11 +242,7 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Index all terms of the examples, count their document frequencies over all documents, and calibrate."""
-    sample, totals = labelled_sample(labels, "toxic", EXAMPLES)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most the sum of EXAMPLES ids
-    once = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
-    # an id may have several texts: the bound holds for texts as well
-    bounded = reduce(DataFrame.unionByName, [once.where(F.col("y") == y).orderBy(F.xxhash64("text"), "doc_id").limit(n) for y, n in EXAMPLES.items()])
+    bounded, totals = labelled_texts(docs, labels, "toxic", EXAMPLES)
 
     def tally(texts: list[bytes]) -> dict[str, list]:
         counts = [Counter(terms_of(t)) for t in texts]

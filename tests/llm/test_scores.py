@@ -184,13 +184,32 @@ def test_calibration_rises():
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and ((y >= 0) & (y <= 1)).all()
 
 
-def test_bradley_terry_orders_items():
+def test_bradley_terry_equals_newton_over_listed_pairs(monkeypatch):
     rng = np.random.default_rng(3)
-    truth = np.array([2.0, -1.0, 0.5])
-    a, b = rng.normal(size=(2, 3000, 3))
-    win = rng.random(3000) < 1 / (1 + np.exp(-(a - b) @ truth))
-    w = quality.bradley_terry(np.where(win[:, None], a - b, b - a))
-    assert np.abs(w - truth).max() < 0.25
+    winners, losers = rng.normal(0.5, 1, size=(70, 3)), rng.normal(size=(50, 3))
+    differences = (winners[:, None, :] - losers[None, :, :]).reshape(-1, 3)
+    want, ridge = np.zeros(3), 0.01 * len(differences)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-differences @ want))
+        curvature = (differences * (p * (1 - p))[:, None]).T @ differences + ridge * np.eye(3)
+        want += np.linalg.solve(curvature, differences.T @ (1 - p) - ridge * want)
+    for rows in (7, 500):
+        monkeypatch.setattr(quality, "ROWS", rows)
+        assert quality.bradley_terry(winners, losers, 0.01) == pytest.approx(want, abs=1e-4)
+
+
+def test_quality_threshold_is_the_best_quantile():
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.6).astype(int)
+    x = np.zeros((400, len(quality.FEATURES)))
+    x[:, 0] = y + rng.normal(0, 0.6, 400)
+    model = quality.fit(x, y)
+    s = model.raw(x)
+    balance = lambda t: np.mean(s[y == 1] >= t) + np.mean(s[y == 0] < t)
+    assert balance(model.threshold) == pytest.approx(max(balance(t) for t in [*s, s.max() + 1]))
+    assert model.threshold == pytest.approx(np.quantile(s, model.level)) and np.mean(s < model.threshold) == pytest.approx(model.level, abs=0.01)
+    one = quality.fit(x, np.array([1, *np.zeros(399, int)]))
+    assert np.isfinite(one.threshold) and np.isfinite(one.raw(x)).all()
 
 
 def test_terms_are_stems_of_all_words():
