@@ -1,9 +1,11 @@
 """Sharding along a Hilbert curve over several metadata dimensions (DataFrame functions only).
 
-Every dimension is quantised into equal-depth bins, the bins are mapped to an index on the Hilbert curve, and the rows in curve
-order are cut into shards whose row counts differ by at most one. Neighbours on the curve are close in every dimension, so the
+Every dimension is quantised into bins: one for each distinct value while there are enough, else equal-depth runs of values, counted
+exactly over whole values, texts in full. The bins are mapped to an index on the Hilbert curve, and the rows in curve order are cut into shards whose row counts differ by at most one. Neighbours on the curve are close in every dimension, so the
 files of a shard have narrow value ranges in all of them and readers can skip files on any.
 
+Counts are exact, so the same rows give the same shards on every run and cluster.
+
 Edge cases: a null in a dimension takes its lowest bin; ties and repeated rows share a curve index and are told apart by the tie
 columns (rows equal in these may swap places, which changes no result); an empty input gives an empty result; fewer rows than
 shards leave some shards empty. Columns of the input are kept, except that ``hilbert``, ``shard`` and ``slot`` are replaced.
@@ -20,12 +22,26 @@ from conceptloom.llm.common import bind, documents, materialise, power_of_two, r
 
 #: Rows per sub-group of a curve cell when positions are counted.
 ROWS_PER_SALT = 100_000
+#: Distinct values of a dimension that one task sums up in order.
+VALUES = 1_000_000
+
 
+def bin_bounds(table: DataFrame, name: str, bins: int) -> list:
+    """The first value of every bin but the lowest; at most ``bins`` - 1 values come to the driver.
 
-def text_order(c: Column) -> Column:
-    """The first seven UTF-8 bytes as a number: keeps the order of texts; null becomes -1."""
-    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+    Values are counted, ranges of VALUES distinct values are summed by tasks of their own, and a value falls into the bin where the
+    middle of its rows lies.
+    """
+    counts = materialise(table.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "hilbert-values")
+    distinct, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if distinct <= bins:
+        return [r._value for r in counts.orderBy("_value").collect()][1:]
+    ranged = materialise(counts.repartitionByRange(1 + distinct // VALUES, "_value").withColumn("_range", F.spark_partition_id()), "hilbert-ranges")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.sum("_n").alias("_n")).select("_range", before(Window.orderBy("_range")).alias("_start"))  # a row for VALUES values
+    placed = ranged.join(starts, "_range").withColumn("_before", F.col("_start") + before(Window.partitionBy("_range").orderBy("_value")))
+    lowest = placed.withColumn("_bin", F.expr(f"((2L * _before + _n) * {bins}L) div {2 * rows}L")).groupBy("_bin").agg(F.min("_value").alias("_value"))
+    return [r._value for r in lowest.orderBy("_bin").collect()][1:]
 
 
 def hilbert_index(bins: Column, dims: int, bits: int) -> Column:
@@ -72,21 +88,21 @@ def hilbert_index(bins: Column, dims: int, bits: int) -> Column:
     return bind(turned, interleave)
 
 
-def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards: int, bits: int = 4) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards: int, bits: int = 5) -> DataFrame:
     """``df`` with ``hilbert`` (long), ``shard`` (int, 0 to n_shards-1) and ``slot`` (long, gapless from 0 in its shard).
 
-    ``dims`` are long columns. The driver only receives the 2**bits - 1 bin bounds of each dimension and the row count.
+    ``dims`` are columns that can be ordered. The driver only receives the 2**bits - 1 bin bounds of each dimension and the row count.
     """
     names = [f"_dim{i}" for i in range(len(dims))]
     table = materialise(df.drop("hilbert", "shard", "slot").withColumns(dict(zip(names, dims, strict=True))), "hilbert")
-    cuts = [i / 2**bits for i in range(1, 2**bits)]
-    *bounds, rows = table.agg(*[F.percentile_approx(n, cuts, 10_000) for n in names], F.count(F.lit(1))).first()
+    types = dict(table.dtypes)
+    bounds = [bin_bounds(table, n, 2**bits) for n in names]
+    rows = table.count()
 
-    def bin_of(name: str, at: list[int] | None) -> Column:
-        at = sorted(set(at or []))
+    def bin_of(name: str, at: list) -> Column:
         if not at:
             return F.lit(0).cast("long")
-        return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in at]), lambda b: b < F.coalesce(F.col(name), b))).cast("long")
+        return F.size(F.filter(F.array(*[F.lit(b).cast(types[name]) for b in at]), lambda b: b <= F.col(name))).cast("long")
 
     index = hilbert_index(F.array(*[bin_of(n, b) for n, b in zip(names, bounds, strict=True)]), len(dims), bits)
     celled = materialise(table.withColumn("hilbert", index).drop(*names), "hilbert-cells")
@@ -114,5 +130,5 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = documents(spark, sf_dir).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source"
     )
-    placed = hilbert_shards(slim, [text_order(F.col("source")), text_order(F.col("lang")), F.col("size")], ["doc_id", "size", "text_crc32"], 8)
+    placed = hilbert_shards(slim, [F.col("source"), F.col("lang"), F.col("size")], ["doc_id", "size", "text_crc32"], 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

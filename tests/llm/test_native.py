@@ -43,12 +43,62 @@ def test_op1_few_and_no_rows(spark, nobody, docs, tmp_path):
 
 
 def test_hilbert_shards_keep_columns_and_write(spark, docs, tmp_path):
-    placed = hilbert.hilbert_shards(docs, [hilbert.text_order(F.col("source")), F.length("text")], ["doc_id", "text"], 3, bits=2)
+    placed = hilbert.hilbert_shards(docs, [F.col("source"), F.length("text")], ["doc_id", "text"], 3, bits=2)
     assert set(docs.columns) <= set(placed.columns)
     hilbert.write_shards(placed, f"{tmp_path}/shards", 4)
     assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
 
 
+def test_bins_tell_values_apart_and_have_equal_depth(spark, monkeypatch):
+    rows = [(f"commoncrawl-20{20 + i % 3}", i // 2, None) for i in range(300)] + [("hot", 7, None)] * 200 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "source string, n long, nothing double")
+    assert hilbert.bin_bounds(df, "source", 4) == ["commoncrawl-2021", "commoncrawl-2022", "hot"]
+    assert hilbert.bin_bounds(df, "nothing", 4) == [] and hilbert.bin_bounds(df.limit(0), "n", 4) == []
+    values = sorted(r[1] for r in rows if r[1] is not None)
+    first = {}
+    for v in sorted(set(values)):
+        first.setdefault((2 * values.index(v) + values.count(v)) * 8 // (2 * len(values)), v)
+    for at_once in (1_000_000, 20):
+        monkeypatch.setattr(hilbert, "VALUES", at_once)
+        assert hilbert.bin_bounds(df, "n", 8) == [first[b] for b in sorted(first)][1:]
+
+
+def test_shards_equal_brute_force_and_rerun(spark):
+    """Cells in curve order from the inverse walk of the curve; shards by row counts."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(4), rng.choice("abcd")) for i in range(203)]
+    df = spark.createDataFrame(rows, "doc_id long, x long, s string")
+    side = spark.range(16).select(F.array(F.expr("id div 4"), F.expr("id % 4")).alias("x"))
+    curve = {tuple(r.x): r.h for r in side.withColumn("h", hilbert.hilbert_index(F.col("x"), 2, 2)).collect()}
+    place = {i: curve[(x, "abcd".index(s))] for i, x, s in rows}
+    out = hilbert.hilbert_shards(df, [F.col("x"), F.col("s")], ["doc_id"], 5, bits=2).collect()
+    assert all(r.hilbert == place[r.doc_id] for r in out)
+    for r in out:
+        position = r.slot + r.shard * 203 // 5
+        assert (5 * (position + 1) - 1) // 203 == r.shard
+    ordered = [place[r.doc_id] for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    assert ordered == sorted(place.values())
+    again = hilbert.hilbert_shards(df.repartition(7), [F.col("x"), F.col("s")], ["doc_id"], 5, bits=2).collect()
+    assert sorted(again) == sorted(out)
+
+
+def test_shards_prune_on_every_dimension(spark):
+    """Of 64 files in curve order a range on any dimension meets few; sorted by the first dimension, one on the second meets all."""
+    rng = random.Random(9)
+    rows = [(i, rng.random(), rng.random()) for i in range(6400)]
+    out = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, x double, y double"), [F.col("x"), F.col("y")], ["doc_id"], 64).collect()
+
+    def met(files, at):
+        return sum(min(v[at] for v in f) <= 0.55 and max(v[at] for v in f) >= 0.5 for f in files)
+
+    by_shard = defaultdict(list)
+    for r in out:
+        by_shard[r.shard].append((r.x, r.y))
+    by_x = sorted((x, y) for _, x, y in rows)
+    plain = [by_x[i : i + 100] for i in range(0, 6400, 100)]
+    assert met(by_shard.values(), 0) <= 22 and met(by_shard.values(), 1) <= 22 and met(plain, 1) == 64
+
+
 def test_ranked_with_a_hot_key(spark):
     df = spark.range(3000).select((F.col("id") % 30 == 0).alias("cold"), "id")
     rows = ranked(df, ["cold"], [F.col("id")], 8, "pos").collect()
