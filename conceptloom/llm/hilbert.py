@@ -93,8 +93,11 @@ def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards:
 
     ``dims`` are columns that can be ordered. The driver only receives the 2**bits - 1 bin bounds of each dimension and the row count.
     """
-    names = [f"_dim{i}" for i in range(len(dims))]
-    table = materialise(df.drop("hilbert", "shard", "slot").withColumns(dict(zip(names, dims, strict=True))), "hilbert")
+    names, ties = [f"_dim{i}" for i in range(len(dims))], [f"_tie{i}" for i in range(len(tie))]
+    kept = df.drop("hilbert", "shard", "slot")
+    # the columns of the input travel in one struct, so none of their names can clash
+    slim = kept.select(F.struct(*kept.columns).alias("_all"), *[d.alias(n) for n, d in zip(names, dims, strict=True)], *[F.col(t).alias(n) for n, t in zip(ties, tie, strict=True)])
+    table = materialise(slim, "hilbert")
     types = dict(table.dtypes)
     bounds = [bin_bounds(table, n, 2**bits) for n in names]
     rows = table.count()
@@ -109,13 +112,13 @@ def hilbert_shards(df: DataFrame, dims: list[Column], tie: list[str], n_shards:
     cells = celled.groupBy("hilbert").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**(bits * dims) rows
     starts = cells.select("hilbert", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = ranked(celled, ["hilbert"], [F.col(t) for t in tie], max(16, power_of_two(rows / ROWS_PER_SALT)), "_pos").join(starts, "hilbert")
+    placed = ranked(celled, ["hilbert"], [F.col(t) for t in ties], max(16, power_of_two(rows / ROWS_PER_SALT)), "_pos").join(starts, "hilbert")
     n = max(rows, 1)
     shard = F.expr(f"(({n_shards}L * (_start + _pos + 1)) - 1) div {n}L")
     return (
         placed.withColumn("shard", shard.cast("int"))
         .withColumn("slot", F.col("_start") + F.col("_pos") - F.expr(f"(shard * {n}L) div {n_shards}L"))
-        .drop("_start", "_pos")
+        .select("_all.*", "hilbert", "shard", "slot")
     )
 
 

@@ -8,7 +8,8 @@ them. Rates are then rounded into whole copies by carrying what rounding leaves
 
 Edge cases: a null source is a source of its own, last in order; documents without words take nothing and change nothing; a source
 whose target is its cap takes ``most`` copies of everything; empty input gives an empty result; repeated rows are documents of
-their own. Extra columns are kept; the columns this operator adds are replaced.
+their own; very long texts are counted whole; equal sizes of a source are ordered by a hash of the id, then the id. Extra columns are
+kept, whatever their names; the columns this operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import bind, documents, materialise, ranked
+from conceptloom.llm.common import bind, documents, materialise, power_of_two, ranked
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Distinct sizes of a source, from the smallest, that carry remainders one by one; larger sizes are rounded by running sums.
-FOLDED = 4096
+#: Sizes of a source in a part of the list that is folded, and documents of a size that one task numbers.
+PART, ROWS_PER_SALT = 1024, 100_000
 STEPS, TOLERANCE = 80, 1e-7
 
 
@@ -94,54 +95,58 @@ def copies_by_size(classes: DataFrame, rates: DataFrame, most: int) -> DataFrame
     """(_source, _size, _n) to ``_m``, the copies that all documents of the class get together.
 
     From long to short, a class takes the whole copies nearest to its tokens plus what rounding has left so far, so a source ends
-    within half its shortest document of its target where no class is at its limit. The fold sees at most FOLDED sizes of a
-    source; longer ones are rounded by a running sum, and what that leaves enters the fold.
+    within half its shortest document of its target where no class is at its limit. All sizes of a source are folded in one row, in
+    parts of PART, as a result that grows by one value at a time would be copied too often.
     """
     ideal = F.when(F.col("_bound"), F.lit(float(most))).otherwise(_rate(F.col("_lam"), F.col("_size") / F.col("_mean"), most))
     at_size = classes.where("_size > 0").join(rates, "_source").withColumn("_ideal", F.round(F.col("_n") * ideal, 6))
-    small = Window.partitionBy("_source").orderBy("_size")
-    at_size = at_size.withColumn("_small", F.row_number().over(small) <= FOLDED)
-    down = Window.partitionBy("_source", "_small").orderBy(F.desc("_size"))
-    running = F.sum("_ideal").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    large = at_size.withColumn("_m", (F.floor(running + 0.5) - F.floor(running - F.col("_ideal") + 0.5)).cast("long")).where("not _small")
-    large = large.withColumn("_m", F.least(F.greatest("_m", F.lit(0)), F.col("_n") * most))
-    left = large.groupBy("_source").agg(F.sum((F.col("_ideal") - F.col("_m")) * F.col("_size")).alias("_carry"))
-    folded = (
-        at_size.where("_small")
-        .groupBy("_source")
-        .agg(F.sort_array(F.collect_list(F.struct("_size", "_n", "_ideal")), asc=False).alias("_classes"))
-        .join(left, "_source", "left")
-    )
-    zero = F.struct(F.coalesce("_carry", F.lit(0.0)).alias("carry"), F.array().cast("array<long>").alias("ms"))
+    whole = at_size.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_size", "_n", "_ideal")), asc=False).alias("_classes"))
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"int((size(_classes) - 1) div {PART})")), lambda i: F.slice("_classes", (i * PART + 1).cast("int"), PART))
+    whole = whole.withColumn("_parts", parts)
+
+    def start(carry: Column, kind: str) -> Column:
+        return F.struct(carry.alias("carry"), F.array().cast(kind).alias("ms"))
 
     def take(acc: Column, c: Column) -> Column:
         want = c["_ideal"] * c["_size"] + acc["carry"]
         m = F.least(F.greatest(F.round(want / c["_size"]).cast("long"), F.lit(0).cast("long")), c["_n"] * most)
         return bind(m, lambda k: F.struct((want - k * c["_size"]).alias("carry"), F.concat(acc["ms"], F.array(k)).alias("ms")))
 
-    folded = folded.withColumn("_ms", F.aggregate("_classes", zero, take, lambda acc: acc["ms"]))
+    def take_part(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, start(acc["carry"], "array<long>"), take)
+        return bind(own, lambda o: F.struct(o["carry"].alias("carry"), F.concat(acc["ms"], F.array(o["ms"])).alias("ms")))
+
+    folded = whole.withColumn("_ms", F.flatten(F.aggregate("_parts", start(F.lit(0.0), "array<array<long>>"), take_part, lambda acc: acc["ms"])))
     pairs = folded.select("_source", F.inline(F.arrays_zip(F.col("_classes").alias("c"), F.col("_ms").alias("m"))))
-    return pairs.select("_source", F.col("c._size").alias("_size"), F.col("c._n").alias("_n"), F.col("m").alias("_m")).unionByName(large.select("_source", "_size", "_n", "_m"))
+    return pairs.select("_source", F.col("c._size").alias("_size"), F.col("c._n").alias("_n"), F.col("m").alias("_m"))
 
 
-def entropy_mix(docs: DataFrame, id_col: str = "doc_id", cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, salts: int = 64) -> DataFrame:
+def entropy_mix(docs: DataFrame, id_col: str = "doc_id", cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Documents with ``source`` and ``size`` (long) to ``source_size``, ``target`` (double), ``copies`` and ``taken`` (long).
 
     Copies of equal sizes of a source differ by at most one; a hash of the id decides who gets the odd ones.
     """
-    table = materialise(docs.drop("source_size", "target", "copies", "taken").withColumns({"_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_size": F.col("size").cast("long")}), "mix")
+    added = ("source_size", "target", "copies", "taken")
+    # the columns of the input travel in one struct, so none of their names can clash
+    slim = docs.select(
+        F.struct(*[c for c in docs.columns if c not in added]).alias("_all"), F.col(id_col).alias("_id"), "source",
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), F.col("size").cast("long").alias("_size"),
+    )
+    table = materialise(slim, "mix")
     classes = materialise(table.groupBy("_source", "source", "_size").agg(F.count(F.lit(1)).alias("_n")), "mix-classes")
+    most_rows = classes.agg(F.max("_n")).first()[0] or 0
     sources = classes.groupBy("_source", "source").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
     targets = materialise(token_targets(sources, cycle, most), "mix-targets")
     plain = classes.drop("source")
     copies = materialise(copies_by_size(plain, solve_rates(plain, targets, most), most), "mix-copies")
-    placed = ranked(table, ["_source", "_size"], [F.xxhash64(id_col), F.col(id_col)], salts, "_pos")
+    salts = max(64, power_of_two(most_rows / ROWS_PER_SALT))
+    placed = ranked(table.drop("source"), ["_source", "_size"], [F.xxhash64("_id"), F.col("_id")], salts, "_pos")
     return (
         placed.join(copies, ["_source", "_size"], "left")
         .join(targets.select("_source", "source_size", "target"), "_source")
         .withColumn("copies", F.coalesce(F.expr("_m div _n + if(_pos < _m % _n, 1, 0)"), F.lit(0)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("_size"))
-        .drop("_source", "_size", "_pos", "_m", "_n")
+        .select("_all.*", *added)
     )
 
 
@@ -152,15 +157,18 @@ def word_count(text: str) -> Column:
 def repeat_copies(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, source and others) as often as the mix takes it; documents without words stay once.
 
-    Copies are worked out on (row hash, source, size) and joined back to the rows by the hash of all their columns, so texts are
-    shuffled once. Rows equal in every column share out what the mix takes of all of them.
+    Copies are worked out on (key, source, size) and joined back to the rows by the key, two hashes of id, source and text, so texts
+    are shuffled once. Rows equal in these three share out what the mix takes of all of them. Other columns may have any name or type.
     """
-    row = docs.withColumn("_row", F.xxhash64(*docs.columns)).withColumn("_words", word_count("text"))
-    mixed = entropy_mix(row.select("_row", "source", F.col("_words").alias("size")), "_row").groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    numbered = row.withColumn("_at", F.row_number().over(Window.partitionBy("_row").orderBy("_words")))
+    key = ["_k1", "_k2"]
+    hashes = [F.xxhash64(F.lit(i), "doc_id", "source", "text").alias(k) for i, k in enumerate(key)]
+    row = docs.select(F.struct(*docs.columns).alias("_all"), *hashes, "source", word_count("text").alias("_words"))
+    mix = entropy_mix(row.select(*key, "source", F.col("_words").alias("size")), "_k1")
+    mixed = mix.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    numbered = row.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("_words")))
     share = F.expr("_copies div _rows + if(_at <= _copies % _rows, 1, 0)")
     times = F.when(F.col("_words") == 0, F.lit(1).cast("long")).otherwise(share)
-    return numbered.join(mixed, "_row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_i")).drop("_i")
+    return numbered.join(mixed, key).select("_all", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_i")).select("_all.*")
 
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
