@@ -157,6 +157,22 @@ def links(fps: DataFrame) -> DataFrame:
     return sparse.unionByName(stars).distinct()
 
 
+def whole_ball_links(fps: DataFrame) -> DataFrame:
+    """Distinct longs ``fp`` to all links (a, b) within RADIUS, by balls around whole fingerprints.
+
+    Every fingerprint emits its variants within half the radius, rounded down, as places to be met, and those within half the radius,
+    rounded up, as visitors: 65 and 2,081. Both are shuffled by the variant, and colliding pairs are made distinct and verified. The
+    links are those that links() connects, for 32 times the rows, and a hot variant is split only as far as adaptive joins split it.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+    one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _flip(i))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: _flip(i).bitwiseOR(_flip(j)))))
+    places = fps.select("fp", F.explode(F.concat(zero, one)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    visitors = fps.select(F.col("fp").alias("other"), F.explode(F.concat(zero, one, two)).alias("flip")).select("other", F.col("other").bitwiseXOR(F.col("flip")).alias("variant"))
+    met = places.join(visitors, "variant").where((F.col("fp") != F.col("other")) & (_distance("fp", "other") <= RADIUS))
+    return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, text) to (doc_id, text_hash, fp, component_id, keeper), one row per row of ``docs``.
 
@@ -166,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = materialise(prints.groupBy("fp").agg(F.min(row).alias("first_row")), "simhash-distinct")
     roots = distinct.join(components(links(distinct.select("fp"))).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.join(roots.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("fp", "keeper")
+    named = materialise(roots.join(roots.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("fp", "keeper"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
@@ -303,14 +319,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed
     pairs = materialise(_candidates(by_text.select("text_hash", "fp", "bands")), "similar-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(by_text.select("text_hash", "first_row.doc_id"), "text_hash").toDF("_hash", "_id")
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sets = materialise(_shingle_sets(chosen, width, seed), "similar-sets").dropDuplicates(["text_hash"])
+    # made distinct before they are written, so that the joins read plain shuffles, whose hot keys adaptive execution splits
+    sets = materialise(_shingle_sets(chosen, width, seed).dropDuplicates(["text_hash"]), "similar-sets")
     empty = by_text.where(wordless).select(F.col("text_hash").alias("a")).crossJoin(by_text.where(wordless).agg(F.min("text_hash").alias("b"))).where("a != b")
     found = materialise(_verified(pairs, sets, similarity).unionByName(empty), "similar-links")
     first_roots = materialise(components(found).toDF("text_hash", "root"), "similar-roots")
     crowded = materialise(_crowded(by_text.select("text_hash", "bands"), first_roots, sets, similarity), "similar-crowded")
     roots = first_roots if crowded.isEmpty() else components(found.unionByName(crowded)).toDF("text_hash", "root")
     rooted = by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("text_hash", "keeper")
+    named = materialise(rooted.join(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("text_hash", "keeper"), "similar-named")
     return prints.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
@@ -319,10 +336,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) ->
     Without ``similarity`` the components are those of the fingerprints alone."""
     found = near_duplicates(docs, width) if similarity is None else similar_texts(docs, width, similarity)
     keepers = found.select("keeper").distinct().select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
-    return kept.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
+    hashed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text_hash"))
+    kept = hashed.join(keepers, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("_own", "_text_hash").orderBy("_text_hash"))
+    return kept.withColumn("_copy", copy).where("_copy = 1").select("_all.*")
 
 
 def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conceptloom.llm import hilbert, mixing, multiset
+from conceptloom.llm import hilbert, mixing, multiset, simhash
 from conceptloom.llm.common import ranked
 
 
@@ -155,14 +156,58 @@ def test_mixing_hot_source_and_emptiness(spark, nobody):
     assert mixing.entropy_mix(nobody.select("doc_id", "source", F.lit(1).alias("size"))).count() == 0
 
 
-def test_folded_and_running_sizes_agree(spark, monkeypatch):
+def brute_mix(rows, most=3):
+    """Rates by bisection of each source's dual, rounded from long to short sizes; to copies of each (source, size)."""
+    by, out, lams = defaultdict(Counter), {}, {}
+    for _, s, n in rows:
+        by[s][n] += 1
+    order = sorted((s for s in by if s is not None)) + [s for s in by if s is None]
+    totals = [sum(k * c for k, c in by[s].items()) for s in order]
+    for s, target in zip(order, waterfill(totals, [1 + i % 3 for i in range(len(order))], most), strict=True):
+        sizes = {k: c for k, c in by[s].items() if k}
+        if not sizes:
+            continue
+        mean = sum(k * c for k, c in sizes.items()) / sum(sizes.values())
+        low, high = -200.0, 200.0
+        rate = lambda lam, k: min(most, math.exp(min(50, lam * k / mean)))
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(k * c * rate(mid, k) for k, c in sizes.items()) < target else (low, mid)
+        lams[s], carry = (low + high) / 2, 0.0
+        for k in sorted(sizes, reverse=True):
+            want = sizes[k] * rate(lams[s], k) * k + carry
+            out[s, k] = min(max(math.floor(want / k + 0.5), 0), sizes[k] * most)
+            carry = want - out[s, k] * k
+    return out, lams
+
+
+def test_op6_copies_and_rates_equal_bisection(spark, monkeypatch):
     rng = random.Random(6)
-    rows = [(i, "ab"[i % 2], rng.randrange(1, 3000)) for i in range(400)]
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(0, 300)) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    for folded in (4096, 20):
-        monkeypatch.setattr(mixing, "FOLDED", folded)
-        out = mixing.entropy_mix(df).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
-        assert all(abs(r.t - r.g) <= 30 for r in out)
+    want, lams = brute_mix(rows)
+    for part in (1024, 7):
+        monkeypatch.setattr(mixing, "PART", part)
+        out = mixing.entropy_mix(df).collect()
+        got = Counter()
+        for r in out:
+            got[r.source, r["size"]] += r.copies
+        assert all(abs(got[k] - n) <= 1 for k, n in want.items())  # a carry near one half may fall either way
+    # the optimum: every rate below the limit is exp(lambda * size / mean) for one lambda of its source
+    classes = df.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).groupBy("_source", "source", F.col("size").alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+    sources = classes.groupBy("_source", "source").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
+    for r in mixing.solve_rates(classes.drop("source"), mixing.token_targets(sources, (1, 2, 3), 3), 3).collect():
+        assert r._bound or r._lam == pytest.approx(lams[r._source[1:] or None], abs=1e-4)
+
+
+def test_operators_keep_columns_with_clashing_names_and_maps(spark):
+    rows = [(i, f"text number {i % 5} " * 9, "ab"[i % 2], 10 * i, {"k": i}) for i in range(40)]
+    names = ["_row", "_words", "_copy", "_n", "_salt", "_rn", "_offset", "_size", "_source", "_k1", "_all", "_id", "size", "target"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark long, tags map<string,int>").select("*", *[F.col("mark").alias(n) for n in names])
+    for out in (mixing.repeat_copies(df), simhash.keep_one(df), hilbert.hilbert_shards(df, [F.col("source")], ["doc_id"], 2), mixing.entropy_mix(df.drop("target"))):
+        assert set(df.columns) - {"target"} <= set(out.columns)
+        kept = out.collect()
+        assert kept and all(r[n] == r.mark == 10 * r.doc_id and r.tags == {"k": r.doc_id} for r in kept for n in names if n != "target")
 
 
 def test_repeat_copies_follow_the_mix(spark, docs):

@@ -82,6 +82,22 @@ def test_links_connect_every_ball_and_nothing_else(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n, r in got.items() if r == root) for root in set(got.values())}
 
 
+def test_whole_balls_give_every_link_and_the_same_components(spark):
+    rng = random.Random(12)
+    prints = {rng.getrandbits(64) for _ in range(30)}
+    for fp in list(prints):
+        for flips in (1, 2, 3, 4):
+            prints.add(fp ^ sum(1 << b for b in rng.sample(range(64), flips)))
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    near = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if near(a, b)}
+    whole = simhash.whole_ball_links(df)
+    assert {tuple(r) for r in whole.collect()} == want
+    roots = lambda x: sorted(map(tuple, graph.components(x).collect()))
+    assert roots(whole) == roots(simhash.links(df))
+
+
 def test_components_of_a_long_chain_and_of_nothing(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = graph.components(chain).collect()
