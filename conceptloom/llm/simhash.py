@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = materialise(prints.groupBy("fp").agg(F.min(row).alias("first_row")), "simhash-distinct")
     roots = distinct.join(components(links(distinct.select("fp"))).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialise(roots.join(roots.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("fp", "keeper"), "simhash-named")
+    roots = materialise(roots, "simhash-roots")
+    keepers = materialise(roots.groupBy("root").agg(F.min("first_row").alias("keeper")), "simhash-keepers")
+    named = materialise(roots.join(keepers, "root").select("fp", "keeper"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
@@ -326,8 +328,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed
     first_roots = materialise(components(found).toDF("text_hash", "root"), "similar-roots")
     crowded = materialise(_crowded(by_text.select("text_hash", "bands"), first_roots, sets, similarity), "similar-crowded")
     roots = first_roots if crowded.isEmpty() else components(found.unionByName(crowded)).toDF("text_hash", "root")
-    rooted = by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
-    named = materialise(rooted.join(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "root").select("text_hash", "keeper"), "similar-named")
+    rooted = materialise(by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "similar-rooted")
+    keepers = materialise(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "similar-keepers")
+    named = materialise(rooted.join(keepers, "root").select("text_hash", "keeper"), "similar-named")
     return prints.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
