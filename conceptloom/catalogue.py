@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from conceptloom.functions import vectors as V
 from conceptloom.operators import alignment, cooccurrence, embeddings, events, glove, information, ontology, projection, sequences
 from conceptloom.plans import jobs
 from conceptloom.sources import files
+from conceptloom.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,7 +280,21 @@ def _lexical(name: str, score: Callable[[Column, Column], Column], sql: str | No
 _lexical("lexical_distance", lexical.distance, "CAST(levenshtein(name_1, name_2) AS INTEGER)")
 _lexical("lexical_jaro", lexical.jaro, f"round(jaro_similarity(name_1, name_2), {DIGITS})")
 _lexical("lexical_jaro_winkler", lexical.jaro_winkler, f"round(jaro_winkler_similarity(name_1, name_2), {DIGITS})")
-_lexical("lexical_ratio", lexical.ratio, None)
+
+
+def _lcs(pairs: str, n: int) -> str:
+    """Tables of a recursive query: ``lcs`` (k1, k2, n), the longest common subsequence of the lists a and b of ``pairs`` (k1, k2, a, b)."""
+    return f"""m AS (SELECT k1, k2, i, j FROM {pairs}, range(1, {n}) t(i), range(1, {n}) u(j) WHERE i <= len(a) AND j <= len(b) AND a[i] = b[j]),
+chain AS (SELECT k1, k2, i, j, 1 AS n FROM m UNION SELECT c.k1, c.k2, m.i, m.j, c.n + 1 FROM chain c JOIN m ON m.k1 = c.k1 AND m.k2 = c.k2 AND m.i > c.i AND m.j > c.j),
+lcs AS (SELECT k1, k2, max(n) AS n FROM chain GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE np AS (SELECT name_1 AS k1, name_2 AS k2, string_split(name_1, '') AS a, string_split(name_2, '') AS b FROM {_NAMES}), {_lcs("np", 60)}
+SELECT k1 AS name_1, k2 AS name_2, round(2.0::DOUBLE * coalesce(n, 0) / (len(a) + len(b)), {DIGITS}) AS score FROM np LEFT JOIN lcs USING (k1, k2)""")
+def lexical_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return retail.name_pairs(spark, sf).withColumn("score", F.round(lexical.ratio(F.col("name_1"), F.col("name_2")), DIGITS))
+
+
 _lexical("lexical_partial_ratio", lexical.partial_ratio, None)
 
 
@@ -315,26 +331,78 @@ def glove_target_context_mean(spark: SparkSession, sf: str) -> DataFrame:
     return mean.select("standard_concept_id", F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
-_PIPE_COLUMNS = ("distance", "jaro", "jaro_wrinkler", "cooccurrence_visit", "semantic_similarity", "is_connected", *information.MEASURES, "mce_cosine")
+#: The matrices of the training pipeline, and the embeddings with target and context vectors; their defaults fill only some.
+_SPANS = {"60_days": 60, "180_days": 180, "360_days": 360}
+_EMBEDDED = {"lifetime_cooccur_embedding": "id", "5_year_cooccur_embedding": "(id * 3 + 1) % half", "visit_cooccur_embedding": "half - 1 - id"}
+_MATRICES = ("cooccurrence_visit", *(f"cooccurrence_{n}" for n in _SPANS), "cooccurrence_lifetime")
+_FEATURES = ("ratio", "jaro", "jaro_wrinkler", *_MATRICES, "semantic_similarity", *information.MEASURES, *(f"{n}_cosine" for n in _EMBEDDED), "mce_cosine")
 
 
-@query(f"""WITH {EV}, {DAG}, {PAIRS}, {IC}, {_measures_sql(False)}, {COMMON}, {SIM}, {EMB}, vd AS ({_VISIT_DICE})
-SELECT c1 AS concept_id_1, c2 AS concept_id_2, CAST(levenshtein(n1, n2) AS INTEGER) AS distance, round(jaro_similarity(n1, n2), {DIGITS}) AS jaro, round(jaro_winkler_similarity(n1, n2), {DIGITS}) AS jaro_wrinkler,
-coalesce(nc, 0) AS cooccurrence_visit, round(coalesce(s, 0), {DIGITS}) AS semantic_similarity, CAST(s IS NOT NULL AS INTEGER) AS is_connected,
-{", ".join(f"round(coalesce({m}, 0), {DIGITS}) + 0.0 AS {m}" for m in information.MEASURES)}, round(coalesce({_COS}, 0), {DIGITS}) + 0.0 AS mce_cosine
-FROM pairs LEFT JOIN vd USING (c1, c2) LEFT JOIN sim USING (c1, c2) LEFT JOIN mo USING (c1, c2) LEFT JOIN emb x ON x.c = c1 LEFT JOIN emb y ON y.c = c2""")
-def feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    closure = retail.dag(spark, sf)
-    rows = jobs.training_features(retail.pairs(spark, sf), {"visit": cooccurrence_visit(spark, sf)}, closure, _content(spark, sf), {"mce": (_embedding(spark, sf), None)})
-    return rounded(rows.select("concept_id_1", "concept_id_2", *_PIPE_COLUMNS), *[c for c in _PIPE_COLUMNS if c not in ("distance", "is_connected")])
+def _cells(table: str, on: str, rows: str) -> str:
+    return f"{table} AS (SELECT standard_concept_id_1 AS c1, standard_concept_id_2 AS c2, normalized_count AS {table} FROM ({_dice(_MAPPED, on, rows)}))"
 
 
-@query(f"WITH {DAG}, {PAIRS}, {COMMON}, {SIM} SELECT c1 AS concept_id_1, c2 AS concept_id_2, round(coalesce(s, 0), {DIGITS}) AS semantic_similarity, CAST(s IS NOT NULL AS INTEGER) AS is_connected FROM pairs LEFT JOIN sim USING (c1, c2)")
-def fill_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fill_defaults(semantic_similarity(spark, sf))
+_MATRIX_SQL = ", ".join([
+    _cells("cooccurrence_visit", " AND a.visit_occurrence_id = b.visit_occurrence_id", "SELECT DISTINCT person_id, visit_occurrence_id, standard_concept_id FROM src"),
+    *(_cells(f"cooccurrence_{n}", f" AND abs(a.event_date - b.event_date) <= {d}", "SELECT DISTINCT person_id, event_date, standard_concept_id FROM src") for n, d in _SPANS.items()),
+    _cells("cooccurrence_lifetime", "", "SELECT DISTINCT person_id, standard_concept_id FROM src"),
+])
+_EMBEDDED_SQL = ", ".join(f'"{n}" AS (SELECT {rule} AS c, v FROM tc)' for n, rule in _EMBEDDED.items())
 
 
-# Sequences ------------------------------------------------------------------------------------------------------------
+@query(f"""WITH RECURSIVE {EV}, {DAG}, {PAIRS}, {IC}, {_measures_sql(False)}, {COMMON}, {SIM}, {EMB}, {_MATRIX_SQL},
+tc AS (SELECT x.c AS id, h.half, list_transform(list_zip(x.v, y.v), lambda z: (z[1] + z[2]) / 2) AS v FROM emb x, (SELECT CAST(count(*) // 2 AS BIGINT) AS half FROM emb) h JOIN emb y ON y.c = x.c + h.half WHERE x.c < h.half), {_EMBEDDED_SQL},
+np AS (SELECT c1 AS k1, c2 AS k2, string_split(n1, '') AS a, string_split(n2, '') AS b FROM pairs), {_lcs("np", 60)}
+SELECT c1 AS concept_id_1, c2 AS concept_id_2, CAST(levenshtein(n1, n2) AS INTEGER) AS distance, round(2.0::DOUBLE * coalesce(lcs.n, 0) / (length(n1) + length(n2)), {DIGITS}) AS ratio,
+round(jaro_similarity(n1, n2), {DIGITS}) AS jaro, round(jaro_winkler_similarity(n1, n2), {DIGITS}) AS jaro_wrinkler,
+{", ".join(f"coalesce({m}.{m}, 0) AS {m}" if m.endswith(("visit", "lifetime")) else f"{m}.{m} AS {m}" for m in _MATRICES)}, round(coalesce(s, 0), {DIGITS}) AS semantic_similarity, CAST(s IS NOT NULL AS INTEGER) AS is_connected,
+{", ".join(f"round(coalesce({m}, 0), {DIGITS}) + 0.0 AS {m}" for m in information.MEASURES)},
+{", ".join(f'round(coalesce(list_cosine_similarity(x{i}.v, y{i}.v), 0), {DIGITS}) + 0.0 AS "{n}_cosine"' for i, n in enumerate(_EMBEDDED))}, round(coalesce({_COS}, 0), {DIGITS}) + 0.0 AS mce_cosine
+FROM pairs {" ".join(f"LEFT JOIN {m} USING (c1, c2)" for m in _MATRICES)} LEFT JOIN sim USING (c1, c2) LEFT JOIN mo USING (c1, c2) LEFT JOIN emb x ON x.c = c1 LEFT JOIN emb y ON y.c = c2
+{" ".join(f'LEFT JOIN "{n}" x{i} ON x{i}.c = c1 LEFT JOIN "{n}" y{i} ON y{i}.c = c2' for i, n in enumerate(_EMBEDDED))} LEFT JOIN lcs ON lcs.k1 = c1 AND lcs.k2 = c2""")
+def feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of the training table but fuzz_partial_ratio, which SQL cannot say; feature_table has it."""
+    return feature_table(spark, sf).drop("fuzz_partial_ratio")
+
+
+@query()
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole training table: five lexical columns, five matrices, ontology and information, three trained embeddings and a final one."""
+    pairs, rows, e = retail.pairs(spark, sf), retail.events(spark, sf), _embedding(spark, sf)
+    cells = {"visit": cooccurrence.cooccurrence(events.in_visits(rows, retail.visits(spark, sf)), wanted=pairs)}
+    cells |= {n: cooccurrence.cooccurrence(rows, days=d, wanted=pairs) for n, d in _SPANS.items()}
+    cells["lifetime"] = cooccurrence.cooccurrence(rows, window=None, wanted=pairs)
+    ids = e.crossJoin(F.broadcast(e.agg(F.expr("count(*) div 2").alias("half")))).where("standard_concept_id < half").select(F.col("standard_concept_id").alias("id"), "half")
+    weights = e.select(F.col("standard_concept_id").alias("wordId"), "vector")
+    vectors = {n.replace("_", " "): (weights, ids.select("id", F.expr(rule).alias("standard_concept_id"))) for n, rule in _EMBEDDED.items()}
+    made = jobs.training_features(pairs, cells, retail.dag(spark, sf), _content(spark, sf), vectors | {"mce": (e, None)})
+    return rounded(made.select("concept_id_1", "concept_id_2", "distance", "is_connected", "fuzz_partial_ratio", *_FEATURES), *_FEATURES)
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, np AS (SELECT c1 AS k1, c2 AS k2, string_split(n1, '') AS a, string_split(n2, '') AS b FROM pairs), {_lcs("np", 60)}
+SELECT c1 AS concept_id_1, c2 AS concept_id_2, CAST(levenshtein(n1, n2) AS INTEGER) AS "Levenshtein_distance", round(2.0::DOUBLE * coalesce(n, 0) / (length(n1) + length(n2)), {DIGITS}) AS "Levenshtein_ratio",
+round(jaro_similarity(n1, n2), {DIGITS}) AS jaro, round(jaro_winkler_similarity(n1, n2), {DIGITS}) AS jaro_winkler FROM pairs LEFT JOIN lcs ON k1 = c1 AND k2 = c2""")
+def lexical_standard_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Other columns than the pipeline's, under the standard names."""
+    named = retail.pairs(spark, sf).withColumnsRenamed({"concept_name_1": "left_name", "concept_name_2": "right_name"})
+    out = features.LexicalSimilarity("lexical", ("left_name", "right_name"), features.LexicalSimilarity.STANDARD).annotate(named)
+    return rounded(out.select("concept_id_1", "concept_id_2", *features.LexicalSimilarity.STANDARD[:4]), "Levenshtein_ratio", "jaro", "jaro_winkler")
+
+
+@query(f"""WITH {EV}, {DAG}, {PAIRS}, {IC}, {_measures_sql(False)}, {COMMON}, {SIM},
+w AS (SELECT c1, c2, CAST(s IS NOT NULL AS INTEGER) AS is_connected, mica_information_content AS mica, graph_ic_measure AS g, x.ic AS i1, y.ic AS i2 FROM pairs LEFT JOIN sim USING (c1, c2) LEFT JOIN mo USING (c1, c2) LEFT JOIN ic x ON x.c = c1 LEFT JOIN ic y ON y.c = c2),
+findings AS (SELECT *, 'unconnected' AS finding FROM w WHERE is_connected = 0 UNION ALL SELECT *, 'uninformative' FROM w WHERE is_connected = 1 AND mica = 0 UNION ALL SELECT *, 'unknown' FROM w WHERE mica IS NOT NULL AND (i1 IS NULL OR i2 IS NULL))
+SELECT c1 AS concept_id_1, c2 AS concept_id_2, is_connected, round(mica, {DIGITS}) + 0.0 AS mica_information_content, round(g, {DIGITS}) + 0.0 AS graph_ic_measure, finding FROM findings""")
+def pair_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    content, closure = _content(spark, sf), retail.dag(spark, sf)
+    measured = information.measures(ontology.semantic_similarity(_id_pairs(spark, sf), closure), content, closure)
+    return rounded(information.diagnostics(measured, content), "mica_information_content", "graph_ic_measure")
+
+
+@query(f"WITH {DAG} SELECT CAST(a AS BIGINT) AS ancestor_concept_id, CAST(d AS BIGINT) AS descendant_concept_id, lo AS min_levels_of_separation, hi AS max_levels_of_separation FROM dag")
+def closure_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """A closure whose columns came as text."""
+    return ontology.typed(retail.dag(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in retail.dag(spark, sf).columns]))
 
 
 def _sequence_sql(window: str, source: str) -> str:
@@ -342,6 +410,72 @@ def _sequence_sql(window: str, source: str) -> str:
 FROM {source} GROUP BY person_id, {window} HAVING count(*) > 1"""
 
 
+_SEQUENCE_VISIT = _sequence_sql('visit_occurrence_id', 'dev')
+
+
+# Files ----------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {PAIRS} SELECT c1 AS concept_id_1, c2 AS concept_id_2, n1 AS concept_name_1, n2 AS concept_name_2 FROM pairs")
+def pairs_through_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Written with a header and read back with types."""
+    rows, path = retail.pairs(spark, sf), _folder(spark, "pairs-csv")
+    files.write_csv(rows, path)
+    return files.read_pairs(spark, path, rows.schema)
+
+
+@query(f"WITH {PAIRS} SELECT CAST(c1 AS VARCHAR) AS concept_id_1, CAST(c2 AS VARCHAR) AS concept_id_2, n1 AS concept_name_1, n2 AS concept_name_2 FROM pairs")
+def pairs_through_csv_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "pairs-text")
+    files.write_csv(retail.pairs(spark, sf), path, single_file=True)
+    return files.read_pairs(spark, path)
+
+
+@query(_dice(_MAPPED, " AND a.visit_occurrence_id = b.visit_occurrence_id", "SELECT DISTINCT person_id, visit_occurrence_id, standard_concept_id FROM src"))
+def matrix_through_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "matrix")
+    files.write_parquet(cooccurrence_visit(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {EMB} SELECT CAST(c AS INTEGER) AS standard_concept_id, round(list_sum(v), {DIGITS}) + 0.0 AS total, CAST(len(v) AS INTEGER) AS n FROM emb")
+def vectors_through_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as lines of text and read back."""
+    path = _folder(spark, "vectors")
+    values = F.array_join(F.transform("vector", lambda x: x.cast("string")), " ")
+    files.write_lines(_embedding(spark, sf).select(F.concat_ws(" ", F.col("standard_concept_id").cast("string"), values).alias("value")), path)
+    rows = files.read_vectors_text(spark, path)
+    return rounded(rows.select("standard_concept_id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("total"), F.size("vector").alias("n")), "total")
+
+
+@query("SELECT p_partkey AS concept_id FROM part")
+def concept_list_through_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "concepts")
+    files.write_lines(spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.col("p_partkey").cast("string"), F.lit(", none")).alias("value")), path)
+    return files.read_concept_list(spark, path)
+
+
+@query(f"WITH {EV}, {DEV}, q AS ({_SEQUENCE_VISIT}) SELECT concept_list, CAST(count(*) AS BIGINT) AS lines, max(collection_size) AS words FROM q GROUP BY concept_list")
+def sequences_through_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Both files of a sequence job: the table, and the corpus that is read back as words."""
+    path = _folder(spark, "sequences")
+    jobs.write_sequences(jobs.patient_sequences(retail.domain_tables(spark, sf), START, END, by_visit=True), path)
+    corpus = files.read_corpus(spark, f"{path}/sequence_csv").select(F.array_join("words", " ").alias("concept_list"), F.size("words").alias("words"))
+    return corpus.groupBy("concept_list").agg(F.count(F.lit(1)).alias("lines"), F.max("words").alias("words"))
+
+
+@query(f"WITH {DAG}, {PAIRS}, {COMMON}, {SIM} SELECT c1 AS concept_id_1, c2 AS concept_id_2, round(coalesce(s, 0), {DIGITS}) AS semantic_similarity, CAST(s IS NOT NULL AS INTEGER) AS is_connected FROM pairs LEFT JOIN sim USING (c1, c2)")
+def fill_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    return features.fill_defaults(semantic_similarity(spark, sf))
+
+
+# Sequences ------------------------------------------------------------------------------------------------------------
+
+
 @query(f"WITH {EV}, {DEV} {_sequence_sql('visit_occurrence_id', 'dev')}")
 def visit_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.sequence_text(jobs.patient_sequences(retail.domain_tables(spark, sf), START, END, by_visit=True))
@@ -373,7 +507,8 @@ def concept_list_parse(spark: SparkSession, sf: str) -> DataFrame:
     return files.parse_concept_list(part.select(F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" , ,x")).alias("value")))
 
 
-_TIMELINE = 40
+#: Persons that are drawn, as many as the reference draws.
+_TIMELINE = 5000
 
 
 @query(f"""WITH {EV}, {DEV}, f AS (SELECT person_id, min(event_date) AS i FROM dev WHERE standard_concept_id = 7 GROUP BY 1), c AS (SELECT * FROM f ORDER BY person_id * 7919 % 10007, person_id LIMIT {_TIMELINE})
@@ -408,34 +543,42 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
     return ids.unionByName(spark.range(-1, 0).withColumnRenamed("id", "concept_id"))
 
 
+def _distances_among(spark: SparkSession, sf: str, concepts: DataFrame) -> DataFrame:
+    """Distances of listed concepts only: the vectors are restricted before pairs are made."""
+    listed = concepts.select(F.col("concept_id").alias("standard_concept_id")).distinct()
+    return embeddings.pairwise(embeddings.restrict(_embedding(spark, sf), listed), "euclidean")
+
+
 _AMONG = f"WITH {EMB}, l AS (SELECT * FROM emb WHERE label = 3), p AS (SELECT x.c AS c1, y.c AS c2, {_DIST} AS m FROM l x, l y)"
 
 
 @query(f"""{_AMONG} SELECT round(avg(m), {DIGITS}) AS mean, round(quantile_cont(m, 0.25), {DIGITS}) AS q25, round(quantile_cont(m, 0.5), {DIGITS}) AS median, round(quantile_cont(m, 0.75), {DIGITS}) AS q75,
 (SELECT count(*) FROM l) AS num_of_concepts, CAST(1 AS BIGINT) AS num_of_missings FROM p""")
 def avg_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(embeddings.distance_statistics(embeddings.pairwise(_embedding(spark, sf), "euclidean"), _listed(spark, sf)), "mean", "q25", "median", "q75")
+    return rounded(embeddings.distance_statistics(_distances_among(spark, sf, _listed(spark, sf)), _listed(spark, sf)), "mean", "q25", "median", "q75")
 
 
 @query(f"{_AMONG} SELECT c1 AS concept_id_1, c2 AS concept_id_2, round(m, {DIGITS}) AS metric FROM p WHERE c1 <> c2")
 def distance_long_form(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(embeddings.among(embeddings.pairwise(_embedding(spark, sf), "euclidean"), _listed(spark, sf), keep_same=False), "metric")
+    return rounded(embeddings.among(_distances_among(spark, sf, _listed(spark, sf)), _listed(spark, sf), keep_same=False), "metric")
 
 
 @query(f"{_AMONG} SELECT c1 AS concept_id_1, c2 AS concept_id_2, round(m, {DIGITS}) AS metric FROM p")
 def distance_submatrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(embeddings.among(embeddings.pairwise(_embedding(spark, sf), "euclidean"), _listed(spark, sf)), "metric")
+    return rounded(embeddings.among(_distances_among(spark, sf, _listed(spark, sf)), _listed(spark, sf)), "metric")
 
 
 @query(f"WITH {EMB} SELECT x.c AS concept_id_1, y.c AS concept_id_2, round({_DIST}, {DIGITS}) AS metric FROM emb x, emb y WHERE x.c = 3 AND y.c = 11")
 def distance_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(embeddings.distance_between(embeddings.pairwise(_embedding(spark, sf), "euclidean"), 3, 11), "metric")
+    return rounded(embeddings.distance_between(_distances_among(spark, sf, spark.createDataFrame([(3,), (11,)], "concept_id long")), 3, 11), "metric")
 
 
-@query()
+@query(f"""WITH {EMB}, l AS (SELECT * FROM emb ORDER BY md5('0:' || c), c LIMIT 50), p AS (SELECT {_DIST} AS m FROM l x, l y)
+SELECT round(avg(m), {DIGITS}) AS mean, round(quantile_cont(m, 0.25), {DIGITS}) AS q25, round(quantile_cont(m, 0.5), {DIGITS}) AS median, round(quantile_cont(m, 0.75), {DIGITS}) AS q75,
+(SELECT count(*) FROM l) AS num_of_concepts, CAST(0 AS BIGINT) AS num_of_missings FROM p""")
 def random_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
-    e = _embedding(spark, sf)
-    return rounded(embeddings.distance_statistics(embeddings.pairwise(e, "euclidean"), embeddings.random_concepts(e, 50)), "mean", "q25", "median", "q75")
+    drawn = embeddings.random_concepts(_embedding(spark, sf), 50)
+    return rounded(embeddings.distance_statistics(_distances_among(spark, sf, drawn), drawn), "mean", "q25", "median", "q75")
 
 
 @query(f"""WITH {EMB}, {REF}, s AS (SELECT truth = 1 AS t, {_COS} > 0.05 AS y FROM ref JOIN emb x ON x.c = c1 JOIN emb y ON y.c = c2)
@@ -444,10 +587,10 @@ def recall_precision(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(embeddings.recall_precision(retail.labelled_pairs(spark, sf), _embedding(spark, sf), above=0.05), "recall", "precision")
 
 
-@query(f"WITH {EMB}, {REF} SELECT c1 AS concept_id_1, c2 AS concept_id_2, truth AS ground_truth FROM ref WHERE c1 IN (SELECT c FROM emb WHERE label <> 1 AND c % 2 = 0) AND c2 IN (SELECT c FROM emb WHERE label <> 1 AND c % 2 = 0)")
+@query(f"WITH {EMB}, {REF} SELECT c1 AS concept_id_1, c2 AS concept_id_2, truth AS ground_truth FROM ref WHERE c1 IN (SELECT c FROM emb WHERE label <> 1 AND c % 3 = 0) AND c2 IN (SELECT c FROM emb WHERE label <> 1 AND c % 3 = 0)")
 def shared_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     e = retail.embedding(spark, sf)
-    shared = embeddings.shared_vocabulary([e, e.where("label <> 1"), e.where("standard_concept_id % 2 = 0")])
+    shared = embeddings.shared_vocabulary([e, e.where("label <> 1"), e.where("standard_concept_id % 3 = 0")])
     return embeddings.restrict_pairs(retail.labelled_pairs(spark, sf), shared)
 
 
@@ -477,6 +620,16 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return _embedding(spark, sf).select("standard_concept_id", F.round(V.norm(F.col("vector")), DIGITS).alias("norm"))
 
 
+@query(f"""WITH {EMB}, j AS (SELECT c, v, s, CAST(label AS VARCHAR) AS phenotype FROM emb, (VALUES ('a'), ('b')) t(s) WHERE label IN (1, 2))
+SELECT c AS standard_concept_id, round(v[1], {DIGITS}) + 0.0 AS x, round(v[2], {DIGITS}) + 0.0 AS y, s AS source, phenotype, p_name AS concept_name FROM j JOIN part ON p_partkey = c""")
+def plot_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Two places of the vectors as coordinates, with what a plot shows of each point."""
+    e = retail.embedding(spark, sf)
+    points = e.select("standard_concept_id", F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y"))
+    parts = [embeddings.tagged(e.select("standard_concept_id"), e.where(F.col("label") == k).select(F.col("standard_concept_id").alias("concept_id")), s, str(k)) for s in "ab" for k in (1, 2)]
+    return rounded(embeddings.plot_frame(points, events.union(parts), retail.concepts(spark, sf)), "x", "y")
+
+
 @query()
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(projection.pca(_embedding(spark, sf)), "x", "y")
@@ -496,35 +649,51 @@ def glove_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 # Alignment --------------------------------------------------------------------------------------------------------------
 
-#: First visit sequences that are aligned: those of the SQL, and as many as the reference takes where there is no SQL.
-_ALIGNED = 60
-_ALIGNED_WITHOUT_SQL = 100
+#: First visit sequences that are aligned with each other, as many as the reference takes.
+_ALIGNED = 100
 
 
-def _aligned(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+def _aligned(spark: SparkSession, sf: str, scoring: alignment.Scoring = alignment.Scoring()) -> DataFrame:
     rows = jobs.patient_sequences(retail.domain_tables(spark, sf), START, END, by_visit=True).select(F.col("patient_window").alias("visit"), F.col("concepts").alias("sequence"))
-    return alignment.all_pairs(sequences.numbered(rows, "visit", limit))
+    return alignment.all_pairs(sequences.numbered(rows, "visit", _ALIGNED), scoring)
 
 
 _SEQS = f"""s AS (SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS k, q FROM (SELECT visit_occurrence_id AS v, list(standard_concept_id ORDER BY event_date, standard_concept_id) AS q FROM dev GROUP BY v HAVING count(*) > 1 ORDER BY v LIMIT {_ALIGNED}))"""
 
 
 @query(f"""WITH RECURSIVE {EV}, {DEV}, {_SEQS}, p AS (SELECT x.k AS k1, y.k AS k2, x.q AS a, y.q AS b FROM s x JOIN s y ON x.k < y.k),
-m AS (SELECT k1, k2, a, b, i, j FROM p, range(1, 100) t(i), range(1, 100) u(j) WHERE i <= len(a) AND j <= len(b) AND a[i] = b[j]),
-chain AS (SELECT k1, k2, i, j, 1 AS n FROM m UNION SELECT c.k1, c.k2, m.i, m.j, c.n + 1 FROM chain c JOIN m ON m.k1 = c.k1 AND m.k2 = c.k2 AND m.i > c.i AND m.j > c.j)
-SELECT k1 AS position_1, k2 AS position_2, round(2.0::DOUBLE * (len(a) + len(b) - 2 * coalesce((SELECT max(n) FROM chain c WHERE c.k1 = p.k1 AND c.k2 = p.k2), 0)) / (len(a) + len(b)), {DIGITS}) AS score FROM p""")
+{_lcs("p", 100)}
+SELECT k1 AS position_1, k2 AS position_2, round(2.0::DOUBLE * (len(a) + len(b) - 2 * coalesce(n, 0)) / (len(a) + len(b)), {DIGITS}) AS score FROM p LEFT JOIN lcs USING (k1, k2)""")
 def patient_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_aligned(spark, sf, _ALIGNED).select("position_1", "position_2", "score"), "score").orderBy("score", "position_1", "position_2")
+    return rounded(_aligned(spark, sf).select("position_1", "position_2", "score"), "score").orderBy("score", "position_1", "position_2")
+
+
+@query(f"""WITH {EV}, {DEV}, {_SEQS} SELECT x.k AS position_1, y.k AS position_2, 2.0::DOUBLE AS score FROM s x JOIN s y ON x.k < y.k""")
+def patient_alignment_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest score: gaps are worth one each and any two steps side by side at most two, so all of it is gaps."""
+    return _aligned(spark, sf, alignment.Scoring(similarity=True)).select("position_1", "position_2", "score")
+
+
+@query(f"""WITH {EV}, {DEV}, {_SEQS}, p AS (SELECT x.k AS k1, y.k AS k2, x.q AS a, y.q AS b FROM s x JOIN s y ON x.k < y.k)
+SELECT k1 AS position_1, k2 AS position_2, round(2.0::DOUBLE * (abs(len(a) - len(b)) + 0.25 * least(len(a), len(b))) / (len(a) + len(b)), {DIGITS}) AS score FROM p""")
+def patient_alignment_with_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """With a matrix that makes any two steps cost a quarter, the shorter sequence is set beside the longer one."""
+    rows = jobs.patient_sequences(retail.domain_tables(spark, sf), START, END, by_visit=True).select(F.col("patient_window").alias("visit"), F.col("concepts").alias("sequence"))
+    first = sequences.numbered(rows, "visit", _ALIGNED)
+    one, two = (first.select(F.col("position").alias(f"position_{k}"), F.col("sequence").alias(f"sequence_{k}")) for k in (1, 2))
+    pairs = one.join(two, F.col("position_1") < F.col("position_2"))
+    costs = F.transform("sequence_1", lambda _: F.transform("sequence_2", lambda _: F.lit(0.25)))
+    return rounded(alignment.align_pairs(pairs.withColumn("costs", costs), costs="costs").select("position_1", "position_2", "score"), "score")
 
 
 @query()
 def alignment_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.steps_of(_aligned(spark, sf, _ALIGNED_WITHOUT_SQL), "position_1", "position_2")
+    return alignment.steps_of(_aligned(spark, sf), "position_1", "position_2")
 
 
 @query()
 def alignment_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.matched_frequency(_aligned(spark, sf, _ALIGNED_WITHOUT_SQL)).orderBy(F.desc("count"), "concept_id")
+    return alignment.matched_frequency(_aligned(spark, sf)).orderBy(F.desc("count"), "concept_id")
 
 
 @query()

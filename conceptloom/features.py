@@ -41,8 +41,10 @@ class LexicalSimilarity(Feature):
 
     def annotate(self, pairs: DataFrame) -> DataFrame:
         a, b = (F.col(c).cast("string") for c in self.columns)
-        scores = (lexical.distance(a, b), lexical.ratio(a, b), lexical.jaro(a, b), lexical.jaro_winkler(a, b), lexical.partial_ratio(a, b))
-        return pairs.withColumns(dict(zip(self.headers, scores, strict=True)))
+        both = pairs.withColumn("_similarities", lexical.similarities(a, b))
+        of = lambda n: F.col("_similarities")[n]
+        scores = (lexical.distance(a, b), lexical.ratio(a, b), of("jaro"), of("jaro_winkler"), of("partial_ratio"))
+        return both.withColumns(dict(zip(self.headers, scores, strict=True))).drop("_similarities")
 
 
 class Cooccurrence(Feature):
@@ -95,15 +97,32 @@ class Embedding(Feature):
         return embeddings.cosine_of_pairs(pairs, self.vectors, self.headers[0])
 
 
-# What missing features become.
-DEFAULTS: dict[str, float] = {"min_distance": -1} | dict.fromkeys(
-    (
-        "distance", "ratio", "jaro", "jaro_wrinkler", "fuzz_partial_ratio", "risk_ratio", "risk_diff", "cooccurrence_lifetime", "cooccurrence_visit", "cooccurrence_5_year",
-        "semantic_similarity", "is_connected", "mica_information_content", "lin_measure", "jiang_measure", "information_coefficient", "relevance_measure", "graph_ic_measure",
-        "glove_cosine", "mce_cosine",
-    ),
-    0,
-)
+# What missing features become, by the names of the training pipeline.
+DEFAULTS: dict[str, float] = {
+    "min_distance": -1,
+    "risk_ratio": 0,
+    "risk_diff": 0,
+    "distance": 0,
+    "ratio": 0,
+    "jaro": 0,
+    "jaro_wrinkler": 0,
+    "fuzz_partial_ratio": 0,
+    "cooccurrence_lifetime": 0,
+    "cooccurrence_5_year": 0,
+    "cooccurrence_visit": 0,
+    "lifetime_cooccur_embedding_cosine": 0,
+    "5_year_cooccur_embedding_cosine": 0,
+    "visit_cooccur_embedding_cosine": 0,
+    "semantic_similarity": 0,
+    "mica_information_content": 0,
+    "lin_measure": 0,
+    "jiang_measure": 0,
+    "relevance_measure": 0,
+    "information_coefficient": 0,
+    "graph_ic_measure": 0,
+}
+# Names of other annotators here.
+DEFAULTS |= {"is_connected": 0, "glove_cosine": 0, "mce_cosine": 0}
 
 
 def fill_defaults(rows: DataFrame, defaults: dict[str, float] | None = None, also: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -28,9 +27,9 @@ def jaro_of(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
-def jaro_winkler_of(a: str, b: str, weight: float = 0.1, above: float = 0.7) -> float:
+def jaro_winkler_of(a: str, b: str, weight: float = 0.1, above: float = 0.7, jaro: float | None = None) -> float:
     """Jaro raised by a common beginning of up to four characters, if it is over ``above``."""
-    score = jaro_of(a, b)
+    score = jaro_of(a, b) if jaro is None else jaro
     if score <= above:
         return score
     same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
@@ -49,24 +48,34 @@ def partial_ratio_of(a: str, b: str) -> float:
     return round(100 * best) / 100
 
 
-def _by_rows(score: Callable[[str, str], float], a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarities(a: Column, b: Column) -> Column:
+    """struct<jaro, jaro_winkler, partial_ratio>, worked out once for each different pair of names of a batch."""
+
+    @F.pandas_udf("jaro double, jaro_winkler double, partial_ratio double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        known: dict[tuple, tuple] = {}
+        for pair in zip(a, b, strict=True):
+            if pair not in known:
+                if pair[0] is None or pair[1] is None:
+                    known[pair] = (None, None, None)
+                else:
+                    jaro = jaro_of(*pair)
+                    known[pair] = (jaro, jaro_winkler_of(*pair, jaro=jaro), partial_ratio_of(*pair))
+        return pd.DataFrame([known[pair] for pair in zip(a, b, strict=True)], columns=["jaro", "jaro_winkler", "partial_ratio"], dtype="float64")
 
     return scored(a, b)
 
 
 def jaro(a: Column, b: Column) -> Column:
-    return _by_rows(jaro_of, a, b)
+    return similarities(a, b)["jaro"]
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _by_rows(jaro_winkler_of, a, b)
+    return similarities(a, b)["jaro_winkler"]
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
-    return _by_rows(partial_ratio_of, a, b)
+    return similarities(a, b)["partial_ratio"]
 
 
 def distance(a: Column, b: Column) -> Column:

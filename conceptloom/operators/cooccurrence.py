@@ -29,30 +29,43 @@ def _mirrored(pairs: DataFrame, *values: str) -> DataFrame:
     return pairs.select(F.explode(both).alias("p"), *values).select("p.c1", "p.c2", *values)
 
 
-def _persons_of_pairs(joined: DataFrame) -> DataFrame:
-    return joined.select("person_id", "c1", "c2").distinct().groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("count"))
+def _persons_of_pairs(joined: DataFrame, wanted: DataFrame | None, once: bool = False) -> DataFrame:
+    """``once``: a person has each pair once already, so there is nothing to make distinct."""
+    rows = joined.select("person_id", "c1", "c2")
+    if wanted is not None:
+        a, b = F.col("concept_id_1"), F.col("concept_id_2")
+        rows = rows.join(wanted.select(F.least(a, b).alias("c1"), F.greatest(a, b).alias("c2")).distinct(), ["c1", "c2"], "left_semi")
+    return (rows if once else rows.distinct()).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("count"))
 
 
-def pairs_in_windows(windowed: DataFrame, window: str | None = "time_window") -> DataFrame:
-    """(c1 < c2, count): persons with both concepts in one window. Without a window any two events of a person meet."""
+def _of_wanted(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Events of concepts that stand in a wanted pair (concept_id_1, concept_id_2)."""
+    if wanted is None:
+        return rows
+    return rows.join(wanted.select(F.explode(F.array("concept_id_1", "concept_id_2")).alias("standard_concept_id")).distinct(), "standard_concept_id", "left_semi")
+
+
+def pairs_in_windows(windowed: DataFrame, window: str | None = "time_window", wanted: DataFrame | None = None) -> DataFrame:
+    """(c1 < c2, count): persons with both concepts in one window. Without a window any two events of a person meet, and distinct
+    events make distinct pairs. With ``wanted`` pairs no others are made."""
     keys = ["person_id"] + ([window] if window else [])
-    rows = mapped(windowed).select(*keys, "standard_concept_id").distinct()
+    rows = _of_wanted(mapped(windowed).select(*keys, "standard_concept_id"), wanted).distinct()
     a, b = rows.withColumnRenamed("standard_concept_id", "c1"), rows.withColumnRenamed("standard_concept_id", "c2")
-    return _persons_of_pairs(a.join(b, keys).where("c1 < c2"))
+    return _persons_of_pairs(a.join(b, keys).where("c1 < c2"), wanted, once=window is None)
 
 
-def pairs_in_span(events: DataFrame, days: int) -> DataFrame:
+def pairs_in_span(events: DataFrame, days: int, wanted: DataFrame | None = None) -> DataFrame:
     """(c1 < c2, count): persons with both concepts at most ``days`` apart.
 
     Days are dealt into bins of ``days``: events that near are in one bin or the next, so a person's events meet only those of two
     bins on either side instead of all.
     """
     width = max(days, 1)
-    rows = mapped(events).select("person_id", "standard_concept_id", F.unix_date("event_date").alias("day")).distinct()
+    rows = _of_wanted(mapped(events).select("person_id", "standard_concept_id", F.unix_date("event_date").alias("day")), wanted).distinct()
     a = rows.select("person_id", F.col("standard_concept_id").alias("c1"), F.col("day").alias("day1"), F.floor(F.col("day") / width).alias("bin"))
     near = F.explode(F.array(*[F.floor(F.col("day") / width) + k for k in (-1, 0, 1)]))
     b = rows.select("person_id", F.col("standard_concept_id").alias("c2"), F.col("day").alias("day2"), near.alias("bin"))
-    return _persons_of_pairs(a.join(b, ["person_id", "bin"]).where(f"c1 < c2 and abs(day1 - day2) <= {days}"))
+    return _persons_of_pairs(a.join(b, ["person_id", "bin"]).where(f"c1 < c2 and abs(day1 - day2) <= {days}"), wanted)
 
 
 def dice(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -65,9 +78,10 @@ def dice(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def cooccurrence(windowed: DataFrame, days: int | None = None, window: str | None = "time_window") -> DataFrame:
-    """The Dice matrix of events in windows, or, with ``days``, of events within a span of days."""
-    pairs = pairs_in_windows(windowed, window) if days is None else pairs_in_span(windowed, days)
+def cooccurrence(windowed: DataFrame, days: int | None = None, window: str | None = "time_window", wanted: DataFrame | None = None) -> DataFrame:
+    """The Dice matrix of events in windows, or, with ``days``, of events within a span of days; with ``wanted`` pairs
+    (concept_id_1, concept_id_2) only their cells, in both directions."""
+    pairs = pairs_in_windows(windowed, window, wanted) if days is None else pairs_in_span(windowed, days, wanted)
     return dice(pairs, occurrence(windowed))
 
 
@@ -80,12 +94,13 @@ def decayed(windowed: DataFrame, window: str = "patient_window", include_diagona
     rows = mapped(windowed).groupBy(*keys, "standard_concept_id", F.unix_date("event_date").alias("day")).agg(F.count(F.lit(1)).alias("m"))
     a, b = (rows.select(*keys, F.col("standard_concept_id").alias(f"c{k}"), F.col("day").alias(f"day{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
     weight = F.col("m1") * F.col("m2") / (F.abs(F.col("day1") - F.col("day2")) + 1.0)
-    off = _mirrored(a.join(b, keys).where("c1 < c2").groupBy("c1", "c2").agg(F.sum(weight).alias("normalized_count")), "normalized_count")
-    if include_diagonal:
-        same_day = rows.select(F.col("standard_concept_id").alias("c1"), (F.col("m") * (F.col("m") - 1.0)).alias("w")).where("w > 0")
-        apart = a.join(b, keys).where("c1 = c2 and day1 < day2").select("c1", (2 * weight).alias("w"))
-        own = same_day.unionByName(apart).groupBy("c1").agg(F.sum("w").alias("normalized_count"))
-        off = off.unionByName(own.select("c1", F.col("c1").alias("c2"), "normalized_count"))
+    # one join for all pairs: an event with itself stands for its repeats, two events of a concept are met once and add twice
+    met = "c1 < c2 or (c1 = c2 and (day1 < day2 or (day1 = day2 and m1 > 1)))" if include_diagonal else "c1 < c2"
+    adds = F.when(F.col("c1") < F.col("c2"), weight).when(F.col("day1") < F.col("day2"), 2 * weight).otherwise(F.col("m1") * (F.col("m1") - 1.0))
+    sums = a.join(b, keys).where(met).groupBy("c1", "c2").agg(F.sum(adds).alias("normalized_count"))
+    a, b = F.col("c1"), F.col("c2")
+    ways = F.when(a == b, F.array(F.struct("c1", "c2"))).otherwise(F.array(F.struct("c1", "c2"), F.struct(b.alias("c1"), a.alias("c2"))))
+    off = sums.select(F.explode(ways).alias("p"), "normalized_count").select("p.c1", "p.c2", "normalized_count")
     ids = occurrence(windowed, first_id=0)
     of = lambda k: ids.select(F.col("id").alias(f"id_{k}"), F.col("standard_concept_id").alias(f"c{k}"))
     return off.join(of(1), "c1").join(of(2), "c2").select("id_1", "id_2", "normalized_count", F.col("c1").alias("standard_concept_id_1"), F.col("c2").alias("standard_concept_id_2"))

@@ -121,7 +121,8 @@ def distance_statistics(distances: DataFrame, concepts: DataFrame, keep_same: bo
 
 def random_concepts(embedding: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k concepts drawn without replacement: those with the smallest hashes of seed and id."""
-    return embedding.select(F.col("standard_concept_id").alias("concept_id")).orderBy(F.xxhash64(F.lit(seed), "concept_id")).limit(k)
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("concept_id").cast("string")))
+    return embedding.select(F.col("standard_concept_id").alias("concept_id")).orderBy(drawn, "concept_id").limit(k)
 
 
 def recall_precision(reference: DataFrame, embedding: DataFrame, above: float = 0.5) -> DataFrame:
@@ -168,6 +169,12 @@ def with_names(rows: DataFrame, concept: DataFrame, key: str = "standard_concept
     return rows.join(concept.select(F.col("concept_id").alias(key), "concept_name"), key)
 
 
+def plot_frame(points: DataFrame, tagged_rows: DataFrame, concept: DataFrame) -> DataFrame:
+    """(standard_concept_id, x, y) and tagged() rows to what a plot shows: coordinates, source, phenotype and concept_name."""
+    tags = tagged_rows.select("standard_concept_id", "source", "phenotype")
+    return with_names(points.join(tags, "standard_concept_id"), concept).select("standard_concept_id", "x", "y", "source", "phenotype", "concept_name")
+
+
 def in_box(points: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
     """Points strictly inside a box of the plane."""
     return points.where((F.col("x") > x[0]) & (F.col("x") < x[1]) & (F.col("y") > y[0]) & (F.col("y") < y[1]))

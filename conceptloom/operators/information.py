@@ -69,3 +69,14 @@ def measures(pairs: DataFrame, content: DataFrame, closure: DataFrame, bag_union
 def common_contents(pairs: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
     """A row per pair and common ancestor, with the ancestor's content."""
     return _ancestors_of_pairs(pairs, content, closure).where("in1 and in2").select(*PAIR, F.col("ancestor").alias("ancestor_concept_id"), F.col("ic").alias("mica_information_content"))
+
+
+def diagnostics(measured: DataFrame, content: DataFrame) -> DataFrame:
+    """Pairs with ``is_connected`` and MEASURES to those that a reader should look at, and why: ``unconnected`` ones, ``uninformative``
+    ones (connected, but only by an ancestor without information), and those with an ancestor but ``unknown`` content of their own."""
+    of = lambda k: content.select(F.col("concept_id").alias(f"concept_id_{k}"), F.col("information_content").alias(f"_ic{k}"))
+    rows = measured.join(of(1), "concept_id_1", "left").join(of(2), "concept_id_2", "left")
+    mica = F.col("mica_information_content")
+    found = {"unconnected": F.col("is_connected") == 0, "uninformative": (F.col("is_connected") == 1) & (mica == 0), "unknown": mica.isNotNull() & (F.col("_ic1").isNull() | F.col("_ic2").isNull())}
+    why = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]), lambda x: x.isNotNull())
+    return rows.select("concept_id_1", "concept_id_2", "is_connected", "mica_information_content", "graph_ic_measure", F.explode(why).alias("finding"))

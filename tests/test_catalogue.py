@@ -6,6 +6,7 @@ import pytest
 from conceptloom import catalogue
 
 SF = "/root/testdata/sf0.001"
+MAY_BE_EMPTY = ("bounding_box", "distance_lookup")
 TABLES = "customer embeddings events lineitem nation orders part region supplier"
 
 
@@ -34,7 +35,9 @@ def sql():
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query_equals_sql(spark, sql, name):
-    assert rows_of(catalogue.QUERIES[name](spark, SF).toPandas()) == rows_of(sql.sql(catalogue.ORACLE[name]).df())
+    got = rows_of(catalogue.QUERIES[name](spark, SF).toPandas())
+    assert got == rows_of(sql.sql(catalogue.ORACLE[name]).df())
+    assert got[1] or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE) - {"glove_embeddings"}))
