@@ -186,41 +186,54 @@ def _views(column: pa.Array) -> list[memoryview]:
     return [memoryview(b"") if not x.is_valid else memoryview(x.as_buffer()) for x in column]
 
 
-def store_audio(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_bytes, wav, pcm16k): the stored mu-law file and its resampled 16-bit PCM file."""
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id and text to ones of id, n_bytes, wav and pcm16k, a slice at a time."""
+    for batch in batches:
+        texts = _views(batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.types[1]) else pa.binary()))
+        for part in _slices([len(t) for t in texts]):
+            wavs = [wave(payload_of(t)) for t in texts[part]]
+            pcm = [pcm_file(read_wave(memoryview(w))[2]) for w in wavs]
+            ids = batch.column(0).slice(part.start, len(wavs))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(wavs, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "wav", "pcm16k"])
+
+
+DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of _store() to ones of id, n_bytes, DIGESTS and feature, a slice at a time."""
+    for batch in batches:
+        wavs, pcms = _views(batch.column(2)), _views(batch.column(3))
+        for part in _slices([len(w) for w in wavs]):
+            datas = [read_wave(w)[2] for w in wavs[part]]
+            rows = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(w), hashlib.sha256(w).hexdigest()) for d, w in zip(datas, wavs[part], strict=True)]
+            features = features_of(datas, [read_wave(p)[2] for p in pcms[part]])
+            own = [batch.column(i).slice(part.start, len(datas)) for i in (0, 1)]
+            digests = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), DIGESTS.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, *digests, pa.array(features)], names=["doc_id", "n_bytes", *DIGESTS, "feature"])
+
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _views(batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.types[1]) else pa.binary()))
-            for part in _slices([len(t) for t in texts]):
-                wavs = [wave(payload_of(t)) for t in texts[part]]
-                pcm = [pcm_file(read_wave(memoryview(w))[2]) for w in wavs]
-                ids = batch.column(0).slice(part.start, len(wavs))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(wavs, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "wav", "pcm16k"])
+_DIGEST_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+
+def store_audio(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_bytes, wav, pcm16k): the stored mu-law file and its resampled 16-bit PCM file."""
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, wav binary, pcm16k binary")
+    return slim.mapInArrow(_store, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, wav binary, pcm16k binary")
 
 
 def digest_audio(stored: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, wav, pcm16k) to the digests of the stored file and of the payload read back from it, and the features of both."""
-    fields = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wavs, pcms = _views(batch.column(2)), _views(batch.column(3))
-            for part in _slices([len(w) for w in wavs]):
-                datas = [read_wave(w)[2] for w in wavs[part]]
-                rows = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(w), hashlib.sha256(w).hexdigest()) for d, w in zip(datas, wavs[part], strict=True)]
-                features = features_of(datas, [read_wave(p)[2] for p in pcms[part]])
-                own = [batch.column(i).slice(part.start, len(datas)) for i in (0, 1)]
-                digests = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), fields.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, *digests, pa.array(features)], names=["doc_id", "n_bytes", *fields, "feature"])
-
     slim = stored.select("doc_id", "n_bytes", "wav", "pcm16k")
-    return slim.mapInArrow(of, f"doc_id {dict(slim.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return slim.mapInArrow(_digest, f"doc_id {dict(slim.dtypes)['doc_id']}, {_DIGEST_FIELDS}")
+
+
+def describe_audio(docs: DataFrame) -> DataFrame:
+    """digest_audio() of store_audio() slice by slice, so that no batch of media crosses into the JVM."""
+    slim = docs.select("doc_id", "text")
+    return slim.mapInArrow(lambda batches: _digest(_store(batches)), f"doc_id {dict(slim.dtypes)['doc_id']}, {_DIGEST_FIELDS}")
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as mu-law samples, read back and described."""
-    return digest_audio(store_audio(documents(spark, sf_dir)))
+    return describe_audio(documents(spark, sf_dir))

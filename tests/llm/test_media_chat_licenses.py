@@ -58,7 +58,9 @@ def test_op8_digests(spark, folder, docs, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
         assert feature.setdefault(raw, r.feature) == r.feature
-    stored = telephony.store_audio(docs).where("doc_id = 1").first()
+    whole = telephony.store_audio(docs)
+    assert sorted(telephony.digest_audio(whole).collect(), key=str) == sorted(rows, key=str)
+    stored = whole.where("doc_id = 1").first()
     assert telephony.read_wave(stored.pcm16k)[:2] == (1, 16000)
 
 
