@@ -14,7 +14,8 @@ template with threshold 1 whose block is the whole text; an exact comparison of
 The templates are a fixed list and the only thing sent to the executors.
 
 Edge cases: null and empty texts have no words and no labels; a threshold met exactly is met; repeated rows are scanned on their
-own; a text with more than one match of a label lists every one; an empty table gives an empty result; extra columns are ignored.
+own; a text with more than one match of a label lists every one, and of matches at one word those of blocks come first, by label; very
+long texts are scanned whole, in memory in proportion to the text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,11 +4,13 @@ A paragraph (line) is hashed into a wide vector: four lanes of independent 62-bi
 the hash bits of its sentences are spread as small counters, three to a lane. Vectors are added modulo 2**62. The sum of a
 document does not depend on the order of its paragraphs, and a paragraph is inserted or deleted by adding or subtracting its
 vector. Equal sums mean equal multisets of paragraphs (but for hash collisions); the counters, centred, give an estimate of the
-share of sentences that two documents have in common.
+share of sentences that two documents have in common. The counters have 20 bits at least, so the likeness (not the equality) holds for
+documents of up to 1,048,575 sentences.
 
 Edge cases: a null text is the empty text, which has one empty paragraph; repeated rows (same id and text) count as one document
 of the ring of next documents and each get its result; rows of one id with different texts follow each other by a hash of the
-text; a single document is its own next; empty tables give empty results; extra columns are ignored.
+text; equal texts have equal vectors and likeness 1; very long texts are split and summed whole, in memory in proportion to the text;
+a single document is its own next; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations

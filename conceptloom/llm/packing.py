@@ -6,7 +6,7 @@ signature is three tokens of the tail, each the first in an order of its own in
 task reads its range in order, in shards of bounded size. Each shard is a BM25 inverted index, with document frequencies, document
 number and mean length counted over all tails; the first unused document is the seed of a window, its unused neighbours by BM25
 follow, and the one that reaches over the end is cut there and becomes the next seed. When no neighbour is left the next unused
-document follows. A window that is open at the end of a shard goes on into the next one, so padding is at most one window a task.
+document follows. The number of tasks follows from the tokens, not from the cluster. A window that is open at the end of a shard goes on into the next one, so padding is at most one window a task.
 
 The tokenizer file's path is a parameter. Very long texts are cut at white space, exactly where the tokenizer's own pattern cuts.
 
@@ -32,7 +32,7 @@ from conceptloom.llm.common import documents, in_bytes, materialise
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard (one index) and of a task, and characters that are encoded at once.
-SHARD_TOKENS, TASK_TOKENS, PART = 1 << 20, 1 << 23, 1 << 18
+SHARD_TOKENS, TASK_TOKENS, PART = 1 << 20, 1 << 22, 1 << 18
 #: Words of a seed that are looked up, the rarest first; None is all of them.
 QUERY_WORDS: int | None = None
 #: Tokens in over one of so many documents of a shard have their weights in a row for all documents.
@@ -309,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     tails = tails.mapInArrow(sign, f"doc_id {id_type}, start long, doc_tokens long, ids binary, signature long").withColumn("spread", F.xxhash64("doc_id", "start"))
     key = ["signature", "spread"]
-    dealt = tails.repartitionByRange(max(docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)), *key).sortWithinPartitions(*key, "doc_id", "ids").select("doc_id", "start", "doc_tokens", "ids")
+    dealt = tails.repartitionByRange(max(1, -(-tokens // TASK_TOKENS)), *key).sortWithinPartitions(*key, "doc_id", "ids").select("doc_id", "start", "doc_tokens", "ids")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -247,6 +247,23 @@ def test_multiset_is_homomorphic_and_order_free(spark):
     assert r.order and r.insert and r.delete and not r.other and r.same == 1.0 and r.less < 1.0
 
 
+def test_likeness_estimates_the_share_of_common_sentences(spark):
+    """Cosines of 63 counters err by about 0.13; of a hundred pairs the mean error is far smaller."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(100):
+        share = (k % 5) / 4
+        own = [f"s{rng.random()}." for _ in range(40)]
+        other = own[: int(40 * share)] + [f"t{rng.random()}." for _ in range(40 - int(40 * share))]
+        rng.shuffle(other)
+        rows.append((share, " ".join(own), " ".join(other)))
+    df = spark.createDataFrame(rows, "share double, a string, b string")
+    got = df.select("share", multiset.likeness(multiset.text_vector(F.col("a")), multiset.text_vector(F.col("b"))).alias("l")).collect()
+    for share in (0.25, 0.5, 0.75, 1.0):
+        own = [r.l for r in got if r.share == share]
+        assert abs(sum(own) / len(own) - share) < 0.1 and all(abs(x - share) < 0.5 for x in own)
+
+
 def test_op10_single_and_none_and_null_id(spark, nobody, tmp_path):
     schema = nobody.schema
     for name, rows, n in (("none", [], 0), ("one", [(5, "ab\ncd", None, None, 1, 1, "", "")], 1), ("null", [(None, "ab", None, None, 1, 1, "", ""), (0, "cd", None, None, 1, 1, "", ""), (0, "ef", None, None, 1, 1, "", "")], 3)):
