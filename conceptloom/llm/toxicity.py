@@ -103,9 +103,14 @@ class BlockMaxIndex:
         self.examples, self.words = examples, words
         self.n = len(examples)
         self.blocks = -(-self.n // BLOCK)
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in examples)])
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in examples])
+        self.built = False
+
+    def build(self) -> None:
+        """Make the postings, where the index is searched first: the driver, which only passes it on, does not hold them."""
+        words, self.built = self.words, True
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.examples)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.examples)])
+        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in self.examples])
         common = np.flatnonzero(np.bincount(term, minlength=words) * COMMON > self.n)
         self.row = np.full(words, -1)
         self.row[common] = np.arange(len(common))
@@ -131,6 +136,8 @@ class BlockMaxIndex:
         many = len(queries)
         if not self.n or not many:
             return [(np.zeros(0, np.int64), np.zeros(0))] * many
+        if not self.built:
+            self.build()
         terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
         owner = np.repeat(np.arange(many), [len(t) for t, _ in queries])
         rows = self.row[terms]
@@ -323,6 +330,7 @@ def fit(terms: list[bytes], vectors: list[tuple[np.ndarray, np.ndarray]], y: np.
                 else:
                     votes.append(vote)
                     truth.append(int(y[i]))
+        del part_index  # not held beside that of the next fold
     all_bare = sum(bare[label] * weight[label] for label in bare)
     alone = (bare[1] * weight[1] + 0.5 * share) / (all_bare + 0.5)
     model = ToxicityModel(terms, w, index, y[held].astype(float), [ids[i] for i in held], alone, share)
