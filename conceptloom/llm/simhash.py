@@ -137,9 +137,9 @@ def links(fps: DataFrame) -> DataFrame:
     costs = own_counts.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("n_near")), "key", "left").select("key", "n_own", F.coalesce("n_near", F.lit(0)).alias("n_near"))
     pairs = F.col("n_own") * (F.col("n_own") - 1) / 2 + F.col("n_own") * F.col("n_near")
     balls = F.col("n_own") * (1 + 32 + 496) + F.col("n_near") * 33
-    costs = costs.where(pairs > 0).select("key", (pairs > balls).alias("dense"))
+    costs = materialise(costs.where(pairs > 0).select("key", (pairs > balls).alias("dense")), "simhash-costs")
     own = materialise(own.join(costs, "key"), "simhash-own")
-    near = near.join(costs, "key")
+    near = materialise(near.join(costs, "key"), "simhash-met")
     everyone = own.select("key", "dense", F.col("fp").alias("other"), F.lit(False).alias("is_near")).unionByName(near.select("key", "dense", F.col("fp").alias("other"), F.lit(True).alias("is_near")))
     met = own.where("not dense").select("key", "fp").join(everyone.where("not dense"), "key").where((F.col("is_near") | (F.col("fp") < F.col("other"))) & (_distance("fp", "other") <= RADIUS))
     sparse = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
@@ -190,9 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
 
 def _candidates(texts: DataFrame) -> DataFrame:
     """Distinct (text_hash, fp, bands) to pairs (a < b) of text hashes that may be similar."""
-    first = texts.groupBy("fp").agg(F.min("text_hash").alias("first"))
+    first = materialise(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "similar-prints")
     same_print = texts.join(first, "fp").select(F.col("text_hash").alias("x"), F.col("first").alias("y"))
-    ball = links(first.select("fp"))
+    ball = materialise(links(first.select("fp")), "similar-balls")
     of = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
     balls = ball.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
     following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
