@@ -41,28 +41,46 @@ def roots(closure: DataFrame) -> DataFrame:
     return closure.groupBy("descendant_concept_id").count().where("count = 1").select(F.col("descendant_concept_id").alias("concept_id"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Not to be broadcast: planners size a generated closure by the file of its concepts, which is far too small."""
+    return df.hint("merge")
+
+
 def common_ancestors(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Distinct pairs to (pair, ancestor, d1, d2): least levels to each common ancestor. The second join is on both keys."""
-    up = closure.select("descendant_concept_id", "ancestor_concept_id", "min_levels_of_separation")
-    first = pairs.select(*PAIR).distinct().join(up.toDF("concept_id_1", "ancestor", "d1"), "concept_id_1")
-    return first.join(up.toDF("concept_id_2", "ancestor", "d2"), ["concept_id_2", "ancestor"]).select(*PAIR, "ancestor", "d1", "d2")
+    """Distinct pairs to (pair, ancestor, d1, d2), one row each: least levels to each common ancestor.
+
+    The ancestors of a concept travel as two arrays, so the shuffles carry a row per pair instead of one per pair and ancestor.
+    """
+    by_concept = closure.groupBy("descendant_concept_id").agg(F.array_sort(F.collect_list(F.struct("ancestor_concept_id", "min_levels_of_separation"))).alias("s"))
+    lists = by_concept.select("descendant_concept_id", F.col("s.ancestor_concept_id").alias("up"), F.col("s.min_levels_of_separation").alias("levels"))
+    first = shuffled(pairs.select(*PAIR).distinct()).join(shuffled(lists.toDF("concept_id_1", "up1", "levels1")), "concept_id_1")
+    both = first.join(shuffled(lists.toDF("concept_id_2", "up2", "levels2")), "concept_id_2")
+    each = both.select(*PAIR, F.explode(F.arrays_zip(F.col("up1").alias("ancestor"), F.col("levels1").alias("d1"))).alias("x"), "up2", "levels2")
+    # the lists are sorted, so of a repeated ancestor the least level comes first
+    at = each.select(*PAIR, "x.ancestor", "x.d1", F.array_position("up2", F.col("x.ancestor")).cast("int").alias("at"), "levels2").where("at > 0")
+    return at.select(*PAIR, "ancestor", "d1", F.get("levels2", F.col("at") - 1).alias("d2")).groupBy(*PAIR, "ancestor").agg(F.min("d1").alias("d1"), F.min("d2").alias("d2"))
+
+
+#: Roots that are sent to every executor; more are joined by a shuffle.
+FEW_ROOTS = 100_000
 
 
 def semantic_similarity(pairs: DataFrame, closure: DataFrame, name: str = "semantic_similarity") -> DataFrame:
     """``name`` and ``is_connected``: the best 2r / (2r + d1 + d2) over common ancestors that are not roots, r being the most levels
     from a root down to the ancestor; null and 0 where only roots are shared."""
-    top = roots(closure).select(F.col("concept_id").alias("ancestor_concept_id"))
-    depth = closure.join(top, "ancestor_concept_id", "left_semi").where("ancestor_concept_id != descendant_concept_id")
-    depth = depth.select(F.col("descendant_concept_id").alias("ancestor"), F.col("max_levels_of_separation").alias("r"))
+    top = materialise(roots(closure).select(F.col("concept_id").alias("ancestor_concept_id")), "roots")
+    top = F.broadcast(top) if top.count() <= FEW_ROOTS else shuffled(top)
+    depth = closure.where("ancestor_concept_id != descendant_concept_id").join(top, "ancestor_concept_id", "left_semi")
+    depth = depth.groupBy(F.col("descendant_concept_id").alias("ancestor")).agg(F.max("max_levels_of_separation").alias("r"))
     r2 = F.col("r") * 2
-    best = common_ancestors(pairs, closure).join(depth, "ancestor").groupBy(*PAIR).agg(F.max(r2 / (r2 + F.col("d1") + F.col("d2"))).alias(name))
-    return pairs.drop(name, "is_connected").join(best, PAIR, "left").withColumn("is_connected", F.col(name).isNotNull().cast("int"))
+    best = common_ancestors(pairs, closure).join(shuffled(depth), "ancestor").groupBy(*PAIR).agg(F.max(r2 / (r2 + F.col("d1") + F.col("d2"))).alias(name))
+    return pairs.drop(name, "is_connected").join(shuffled(best), PAIR, "left").withColumn("is_connected", F.col(name).isNotNull().cast("int"))
 
 
 def min_distance(pairs: DataFrame, closure: DataFrame, name: str = "min_distance") -> DataFrame:
     """The fewest levels between the two concepts by way of a common ancestor."""
     best = common_ancestors(pairs, closure).groupBy(*PAIR).agg(F.min(F.col("d1") + F.col("d2")).alias(name))
-    return pairs.drop(name).join(best, PAIR, "left")
+    return pairs.drop(name).join(shuffled(best), PAIR, "left")
 
 
 def paths(edges: DataFrame, max_depth: int = 64) -> DataFrame:
