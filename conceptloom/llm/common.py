@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from conceptloom.storage import materialise, shared_dir
+from conceptloom.storage import materialise, shared_dir, shuffled
 
-__all__ = ["annotate", "bind", "documents", "held_out", "in_bytes", "labelled_sample", "labelled_texts", "materialise", "power_of_two", "ranked", "shared_dir"]
+__all__ = ["annotate", "bind", "documents", "held_out", "in_bytes", "labelled_sample", "labelled_texts", "materialise", "power_of_two", "ranked", "shared_dir", "shuffled"]
 
 
 def in_bytes(texts: pa.Array) -> Iterator[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import materialise
+from conceptloom.llm.common import materialise, shuffled
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(shuffled(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(shuffled(low), "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = materialise(small.distinct(), "small-star")
         after = _signature(edges)

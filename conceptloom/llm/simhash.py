@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import documents, in_bytes, materialise
+from conceptloom.llm.common import documents, in_bytes, materialise, shuffled
 from conceptloom.llm.graph import components
 
 RADIUS = 3
@@ -133,15 +133,15 @@ def links(fps: DataFrame) -> DataFrame:
         .select("fp", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
         .select("fp", _key(F.col("half"), _half(F.col("fp"), F.col("half")).bitwiseXOR(_flip(F.col("bit")))).alias("key"))
     )
-    near = materialise(variants.join(own_counts, "key"), "simhash-near").drop("n_own")
-    costs = own_counts.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("n_near")), "key", "left").select("key", "n_own", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    near = materialise(variants.join(shuffled(own_counts), "key"), "simhash-near").drop("n_own")
+    costs = own_counts.join(shuffled(near.groupBy("key").agg(F.count(F.lit(1)).alias("n_near"))), "key", "left").select("key", "n_own", F.coalesce("n_near", F.lit(0)).alias("n_near"))
     pairs = F.col("n_own") * (F.col("n_own") - 1) / 2 + F.col("n_own") * F.col("n_near")
     balls = F.col("n_own") * (1 + 32 + 496) + F.col("n_near") * 33
     costs = materialise(costs.where(pairs > 0).select("key", (pairs > balls).alias("dense")), "simhash-costs")
-    own = materialise(own.join(costs, "key"), "simhash-own")
-    near = materialise(near.join(costs, "key"), "simhash-met")
+    own = materialise(own.join(shuffled(costs), "key"), "simhash-own")
+    near = materialise(near.join(shuffled(costs), "key"), "simhash-met")
     everyone = own.select("key", "dense", F.col("fp").alias("other"), F.lit(False).alias("is_near")).unionByName(near.select("key", "dense", F.col("fp").alias("other"), F.lit(True).alias("is_near")))
-    met = own.where("not dense").select("key", "fp").join(everyone.where("not dense"), "key").where((F.col("is_near") | (F.col("fp") < F.col("other"))) & (_distance("fp", "other") <= RADIUS))
+    met = own.where("not dense").select("key", "fp").join(shuffled(everyone.where("not dense")), "key").where((F.col("is_near") | (F.col("fp") < F.col("other"))) & (_distance("fp", "other") <= RADIUS))
     sparse = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
     rest = F.when(F.col("key") < (1 << 32), F.col("other").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).otherwise(F.shiftrightunsigned("other", 32))
@@ -153,7 +153,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     balls = balls.select("key", "other", "centre", F.col("rest").bitwiseXOR(F.col("flip")).alias("spot"))
     centres = balls.where("centre").groupBy("key", "spot").agg(F.min("other").alias("hub"))
-    stars = balls.join(centres, ["key", "spot"]).where("other != hub").select(F.least("other", "hub").alias("a"), F.greatest("other", "hub").alias("b"))
+    stars = balls.join(shuffled(centres), ["key", "spot"]).where("other != hub").select(F.least("other", "hub").alias("a"), F.greatest("other", "hub").alias("b"))
     return sparse.unionByName(stars).distinct()
 
 
@@ -169,7 +169,7 @@ def whole_ball_links(fps: DataFrame) -> DataFrame:
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: _flip(i).bitwiseOR(_flip(j)))))
     places = fps.select("fp", F.explode(F.concat(zero, one)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     visitors = fps.select(F.col("fp").alias("other"), F.explode(F.concat(zero, one, two)).alias("flip")).select("other", F.col("other").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = places.join(visitors, "variant").where((F.col("fp") != F.col("other")) & (_distance("fp", "other") <= RADIUS))
+    met = places.join(shuffled(visitors), "variant").where((F.col("fp") != F.col("other")) & (_distance("fp", "other") <= RADIUS))
     return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
@@ -181,25 +181,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
     prints = materialise(fingerprints(docs, width, seed), "simhash")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = materialise(prints.groupBy("fp").agg(F.min(row).alias("first_row")), "simhash-distinct")
-    roots = distinct.join(components(links(distinct.select("fp"))).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = distinct.join(shuffled(components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = materialise(roots, "simhash-roots")
     keepers = materialise(roots.groupBy("root").agg(F.min("first_row").alias("keeper")), "simhash-keepers")
-    named = materialise(roots.join(keepers, "root").select("fp", "keeper"), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
+    named = materialise(roots.join(shuffled(keepers), "root").select("fp", "keeper"), "simhash-named")
+    return prints.join(shuffled(named), "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
     """Distinct (text_hash, fp, bands) to pairs (a < b) of text hashes that may be similar."""
     first = materialise(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "similar-prints")
-    same_print = texts.join(first, "fp").select(F.col("text_hash").alias("x"), F.col("first").alias("y"))
+    same_print = texts.join(shuffled(first), "fp").select(F.col("text_hash").alias("x"), F.col("first").alias("y"))
     ball = materialise(links(first.select("fp")), "similar-balls")
-    of = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
+    of = lambda c, out: shuffled(first.select(F.col("fp").alias(c), F.col("first").alias(out)))
     balls = ball.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
     following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
     keys = F.explode(F.concat("bands", F.transform(F.arrays_zip(F.col("bands").alias("k"), following.alias("n")), lambda p: F.xxhash64(p["k"], p["n"]))))
     in_bands = materialise(texts.where("size(bands) > 0").select("text_hash", keys.alias("key")), "similar-bands")
     ends = in_bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low != high")
-    stars = in_bands.join(ends, "key").select(F.col("text_hash").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    stars = in_bands.join(shuffled(ends), "key").select(F.col("text_hash").alias("x"), F.explode(F.array("low", "high")).alias("y"))
     pairs = same_print.unionByName(balls).unionByName(stars).where("x != y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -230,7 +230,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of_side = lambda c: sets.select(F.col("text_hash").alias(c), F.col("shingles").alias(f"s{c}"))
+    of_side = lambda c: shuffled(sets.select(F.col("text_hash").alias(c), F.col("shingles").alias(f"s{c}")))
     return pairs.join(of_side("a"), "a").join(of_side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(of, "a long, b long")
 
 
@@ -285,20 +285,20 @@ def _crowded(texts: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
 
     ``texts`` has (text_hash, bands), ``roots`` (text_hash, root) of the linked ones, ``sets`` the shingles of all that share a band.
     """
-    rooted = texts.where("size(bands) > 0").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    rooted = texts.where("size(bands) > 0").join(shuffled(roots), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     members = rooted.select("text_hash", "root", F.explode("bands").alias("key"))
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     buckets = by_root.groupBy("key").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("n_roots")).where("n_all > 3 and n_roots > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     buckets = buckets.select("key", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("n_top"), blocks(F.col("n_all") - F.col("top.n")).alias("n_rest"))
     # blocks of the rest are 0 to n_rest - 1, those of the largest component follow
-    held = members.join(buckets, "key").withColumn("is_top", F.col("root") == F.col("top"))
+    held = members.join(shuffled(buckets), "key").withColumn("is_top", F.col("root") == F.col("top"))
     spread = F.xxhash64("text_hash", F.lit(7))
     held = held.withColumn("own", F.when(F.col("is_top"), F.col("n_rest") + F.pmod(spread, F.col("n_top"))).otherwise(F.pmod(spread, F.col("n_rest"))).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_top") - 1))
     dealt = held.select("key", "text_hash", "root", "own", F.explode(others).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_hash", "root")
-    dealt = dealt.join(texts.select("text_hash", "bands"), "text_hash").join(sets, "text_hash")
+    dealt = dealt.join(shuffled(texts.select("text_hash", "bands")), "text_hash").join(shuffled(sets), "text_hash")
 
     def of(group: tuple, table: pa.Table) -> pa.Table:
         key, i, j = (x.as_py() for x in group)
@@ -319,8 +319,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed
     wordless = F.size("bands") == 0
     by_text = materialise(prints.groupBy("text_hash").agg(F.min(row).alias("first_row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-texts")
     pairs = materialise(_candidates(by_text.select("text_hash", "fp", "bands")), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(by_text.select("text_hash", "first_row.doc_id"), "text_hash").toDF("_hash", "_id")
-    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(shuffled(by_text.select("text_hash", "first_row.doc_id")), "text_hash").toDF("_hash", "_id")
+    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # made distinct before they are written, so that the joins read plain shuffles, whose hot keys adaptive execution splits
     sets = materialise(_shingle_sets(chosen, width, seed).dropDuplicates(["text_hash"]), "similar-sets")
     empty = by_text.where(wordless).select(F.col("text_hash").alias("a")).crossJoin(by_text.where(wordless).agg(F.min("text_hash").alias("b"))).where("a != b")
@@ -328,10 +328,10 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed
     first_roots = materialise(components(found).toDF("text_hash", "root"), "similar-roots")
     crowded = materialise(_crowded(by_text.select("text_hash", "bands"), first_roots, sets, similarity), "similar-crowded")
     roots = first_roots if crowded.isEmpty() else components(found.unionByName(crowded)).toDF("text_hash", "root")
-    rooted = materialise(by_text.select("text_hash", "first_row").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "similar-rooted")
+    rooted = materialise(by_text.select("text_hash", "first_row").join(shuffled(roots), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "similar-rooted")
     keepers = materialise(rooted.groupBy("root").agg(F.min("first_row").alias("keeper")), "similar-keepers")
-    named = materialise(rooted.join(keepers, "root").select("text_hash", "keeper"), "similar-named")
-    return prints.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")
+    named = materialise(rooted.join(shuffled(keepers), "root").select("text_hash", "keeper"), "similar-named")
+    return prints.select("doc_id", "text_hash").join(shuffled(named), "text_hash").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) -> DataFrame:
@@ -340,7 +340,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8) ->
     found = near_duplicates(docs, width) if similarity is None else similar_texts(docs, width, similarity)
     keepers = found.select("keeper").distinct().select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash"))
     hashed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text_hash"))
-    kept = hashed.join(keepers, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    kept = hashed.join(shuffled(keepers), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     copy = F.row_number().over(Window.partitionBy("_own", "_text_hash").orderBy("_text_hash"))
     return kept.withColumn("_copy", copy).where("_copy = 1").select("_all.*")
 

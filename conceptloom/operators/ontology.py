@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptloom.storage import materialise
+from conceptloom.storage import materialise, shuffled
 
 PAIR = ["concept_id_1", "concept_id_2"]
 
@@ -41,11 +41,6 @@ def roots(closure: DataFrame) -> DataFrame:
     return closure.groupBy("descendant_concept_id").count().where("count = 1").select(F.col("descendant_concept_id").alias("concept_id"))
 
 
-def shuffled(df: DataFrame) -> DataFrame:
-    """Not to be broadcast: planners size a generated closure by the file of its concepts, which is far too small."""
-    return df.hint("merge")
-
-
 def common_ancestors(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     """Distinct pairs to (pair, ancestor, d1, d2), one row each: least levels to each common ancestor.
 

@@ -190,3 +190,18 @@ def test_null_ids_never_name_a_component(spark):
     rows = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df, 3).collect()}
     assert rows == {(None, 4), (4, 4), (None, None)}
     assert pa.array([1]).type == pa.int64()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, docs, monkeypatch):
+    plans = []
+    write = simhash.materialise
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    monkeypatch.setattr(graph, "materialise", seen)
+    for found in (simhash.near_duplicates(docs, 3), simhash.keep_one(docs)):
+        plans.append(("result", found._jdf.queryExecution().sparkPlan().toString()))
+    assert len(plans) > 10 and [name for name, plan in plans if "BroadcastHashJoin" in plan] == []
