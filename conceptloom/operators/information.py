@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptloom.operators.ontology import PAIR, strict
+from conceptloom.operators.ontology import PAIR, common_ancestors, strict
+from conceptloom.storage import materialise, shuffled
 
 MEASURES = ("mica_information_content", "lin_measure", "jiang_measure", "information_coefficient", "relevance_measure", "graph_ic_measure")
 
 
 def _from_frequencies(frequency: DataFrame, total: DataFrame, closure: DataFrame) -> DataFrame:
     """(concept, n), a one-row total and a closure to counts summed up the hierarchy."""
-    rolled = closure.join(frequency, closure["descendant_concept_id"] == frequency["c"]).groupBy(F.col("ancestor_concept_id").alias("concept_id")).agg(F.sum("n").alias("count"))
+    rolled = closure.join(shuffled(frequency.withColumnRenamed("c", "descendant_concept_id")), "descendant_concept_id").groupBy(F.col("ancestor_concept_id").alias("concept_id")).agg(F.sum("n").alias("count"))
     share = F.col("count") / F.col("total")
     return rolled.crossJoin(F.broadcast(total)).select("concept_id", "count", (-F.log(share)).alias("information_content"), share.alias("probability"))
 
@@ -30,33 +31,34 @@ def information_content_of(frequencies: DataFrame, closure: DataFrame) -> DataFr
     return _from_frequencies(frequency, frequency.agg(F.sum("n").alias("total")), strict(closure))
 
 
-def _ancestors_of_pairs(pairs: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
-    """One row per pair and ancestor of either side: (pair, ancestor, in1, in2, ic, p)."""
-    up = closure.select("descendant_concept_id", F.col("ancestor_concept_id").alias("ancestor"))
-    distinct = pairs.select(*PAIR).distinct()
-    sides = [
-        distinct.join(up.withColumnRenamed("descendant_concept_id", c), c).select(*PAIR, "ancestor", F.lit(c == PAIR[0]).alias("in1"), F.lit(c == PAIR[1]).alias("in2"))
-        for c in PAIR
-    ]
-    both = sides[0].unionByName(sides[1]).groupBy(*PAIR, "ancestor").agg(F.max("in1").alias("in1"), F.max("in2").alias("in2"))
-    return both.join(content.select(F.col("concept_id").alias("ancestor"), F.col("information_content").alias("ic"), F.col("probability").alias("p")), "ancestor")
+def _of_common_ancestors(pairs: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
+    """One row per pair and common ancestor with known content: (pair, ancestor, ic, p)."""
+    known = content.select(F.col("concept_id").alias("ancestor"), F.col("information_content").alias("ic"), F.col("probability").alias("p"))
+    return common_ancestors(pairs, closure).select(*PAIR, "ancestor").join(shuffled(known), "ancestor")
+
+
+def _content_above(content: DataFrame, closure: DataFrame) -> DataFrame:
+    """(concept_id, above): the summed content of all distinct ancestors of a concept."""
+    up = closure.select(F.col("descendant_concept_id").alias("concept_id"), F.col("ancestor_concept_id").alias("ancestor")).distinct()
+    known = content.select(F.col("concept_id").alias("ancestor"), F.col("information_content").alias("ic"))
+    return up.join(shuffled(known), "ancestor").groupBy("concept_id").agg(F.sum("ic").alias("above"))
 
 
 def measures(pairs: DataFrame, content: DataFrame, closure: DataFrame, bag_union: bool = False, standard: bool = False) -> DataFrame:
-    """``pairs`` with MEASURES. One aggregate over the ancestors of a pair gives all of them.
+    """``pairs`` with MEASURES. One aggregate over the common ancestors of a pair and the sums over those of each side give all of them.
 
     ``bag_union`` counts common ancestors twice in the graph measure's denominator; ``standard`` uses the sum of both contents in Lin's
     measure instead of their product. A zero denominator gives null.
     """
-    common = F.col("in1") & F.col("in2")
-    shared = F.coalesce(F.sum(F.when(common, F.col("ic"))), F.lit(0.0))
-    every = F.sum("ic") + (shared if bag_union else F.lit(0.0))
-    rows = _ancestors_of_pairs(pairs, content, closure).groupBy(*PAIR).agg(
-        F.max(F.when(common, F.col("ic"))).alias("mica_information_content"), F.max(F.when(common, F.col("p"))).alias("_p"),
-        F.sum(F.when(common, F.col("ic"))).alias("_shared"), every.alias("_every"),
-    )
-    own = lambda k: content.select(F.col("concept_id").alias(f"concept_id_{k}"), F.col("information_content").alias(f"_ic{k}"))
-    joined = pairs.drop(*MEASURES).join(rows, PAIR, "left").join(own(1), "concept_id_1", "left").join(own(2), "concept_id_2", "left")
+    content = materialise(content, "content")
+    rows = _of_common_ancestors(pairs, content, closure).groupBy(*PAIR).agg(F.max("ic").alias("mica_information_content"), F.max("p").alias("_p"), F.sum("ic").alias("_shared"))
+    own = content.select("concept_id", "information_content").join(shuffled(_content_above(content, closure)), "concept_id", "full")
+    own = materialise(own, "content-above")
+    of = lambda k: shuffled(own.toDF(f"concept_id_{k}", f"_ic{k}", f"_above{k}"))
+    joined = pairs.drop(*MEASURES).join(shuffled(rows), PAIR, "left").join(of(1), "concept_id_1", "left").join(of(2), "concept_id_2", "left")
+    zero = F.lit(0.0)
+    either = F.coalesce("_above1", zero) + F.coalesce("_above2", zero) - (zero if bag_union else F.coalesce("_shared", zero))
+    joined = joined.withColumn("_every", either)
     mica, ic1, ic2 = F.col("mica_information_content"), F.col("_ic1"), F.col("_ic2")
     lin = F.try_divide(2 * mica, ic1 + ic2 if standard else ic1 * ic2)
     return joined.select(
@@ -68,13 +70,13 @@ def measures(pairs: DataFrame, content: DataFrame, closure: DataFrame, bag_union
 
 def common_contents(pairs: DataFrame, content: DataFrame, closure: DataFrame) -> DataFrame:
     """A row per pair and common ancestor, with the ancestor's content."""
-    return _ancestors_of_pairs(pairs, content, closure).where("in1 and in2").select(*PAIR, F.col("ancestor").alias("ancestor_concept_id"), F.col("ic").alias("mica_information_content"))
+    return _of_common_ancestors(pairs, content, closure).select(*PAIR, F.col("ancestor").alias("ancestor_concept_id"), F.col("ic").alias("mica_information_content"))
 
 
 def diagnostics(measured: DataFrame, content: DataFrame) -> DataFrame:
     """Pairs with ``is_connected`` and MEASURES to those that a reader should look at, and why: ``unconnected`` ones, ``uninformative``
     ones (connected, but only by an ancestor without information), and those with an ancestor but ``unknown`` content of their own."""
-    of = lambda k: content.select(F.col("concept_id").alias(f"concept_id_{k}"), F.col("information_content").alias(f"_ic{k}"))
+    of = lambda k: shuffled(content.select(F.col("concept_id").alias(f"concept_id_{k}"), F.col("information_content").alias(f"_ic{k}")))
     rows = measured.join(of(1), "concept_id_1", "left").join(of(2), "concept_id_2", "left")
     mica = F.col("mica_information_content")
     found = {"unconnected": F.col("is_connected") == 0, "uninformative": (F.col("is_connected") == 1) & (mica == 0), "unknown": mica.isNotNull() & (F.col("_ic1").isNull() | F.col("_ic2").isNull())}

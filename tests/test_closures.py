@@ -39,3 +39,12 @@ def test_roll_up_does_not_broadcast_the_closure(spark, closure):
     drugs = spark.range(1, 400).select(F.col("id").alias("drug_concept_id"), (F.col("id") % 9).alias("person_id"))
     concept = spark.range(1, 400).select(F.col("id").alias("concept_id"), F.when(F.col("id") % 3 == 0, "Ingredient").otherwise("Brand").alias("concept_class_id"))
     assert broadcasts(events.roll_up_to_ingredients(drugs, concept, closure)) == 0
+
+
+def test_contents_and_measures_do_not_broadcast_the_closure(spark, pairs, closure):
+    rows = spark.range(1, 400).select((F.col("id") % 7).alias("person_id"), F.col("id").alias("standard_concept_id"))
+    content = information.information_content(rows, closure)
+    assert broadcasts(content) == 0
+    assert broadcasts(information.common_contents(pairs, content, closure)) == 0
+    assert broadcasts(information.information_content_of(content.select(F.col("concept_id").alias("standard_concept_id"), "count"), closure)) == 0
+    assert broadcasts(information.measures(pairs, content, closure)) == 0
