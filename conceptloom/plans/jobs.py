@@ -12,6 +12,7 @@ from conceptloom.config import SPAN_PRESETS
 from conceptloom.operators import cooccurrence as co
 from conceptloom.operators import embeddings, events, glove, sequences
 from conceptloom.sources.files import write_csv, write_parquet
+from conceptloom.storage import materialise
 
 
 def cooccurrence_presets(domain_events: DataFrame, visits: DataFrame, last_year: int) -> dict[str, DataFrame]:
@@ -29,12 +30,15 @@ def write_cooccurrence(domain_events: DataFrame, visits: DataFrame, last_year: i
 def training_features(
     pairs: DataFrame, matrices: Mapping[str, DataFrame], closure: DataFrame, content: DataFrame, vectors: Mapping[str, tuple[DataFrame, DataFrame | None]], fill: bool = True
 ) -> DataFrame:
-    """Lexical, co-occurrence, ontology, information and embedding features of concept pairs."""
+    """Lexical, co-occurrence, ontology, information and embedding features of concept pairs. The table is written after each of them,
+    as a plan of all together is more than a driver should hold."""
     steps: list[features.Feature] = [features.LexicalSimilarity()]
     steps += [features.Cooccurrence(f"cooccurrence {name}", m) for name, m in matrices.items()]
     steps += [features.SemanticSimilarity("semantic similarity", closure), features.InformationContent("information content", content, closure)]
     steps += [features.Embedding(name, weights, vocabulary) for name, (weights, vocabulary) in vectors.items()]
-    rows = features.run(pairs, steps)
+    rows = pairs
+    for step in steps:
+        rows = materialise(step.annotate(rows), "features")
     return features.fill_defaults(rows) if fill else rows
 
 
