@@ -48,3 +48,13 @@ def test_statistics_without_rows_of_pairs(spark, embedding, keep_same, monkeypat
 def test_statistics_of_equal_vectors(spark, embedding):
     same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(9)], "standard_concept_id long, vector array<double>")
     assert tuple(embeddings.statistics_among(same, same.selectExpr("standard_concept_id AS concept_id")).first()) == (0.0, 0.0, 0.0, 0.0, 9, 0)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_both_directions_of_two_blocks_come_together(spark, embedding, metric):
+    block = dict(map(tuple, embedding.selectExpr("standard_concept_id", "pmod(xxhash64(standard_concept_id), 6)").collect()))  # 23 vectors by 4
+    got = [(r.concept_id_1, r.concept_id_2) for r in embeddings.pairwise(embedding, metric).collect()]
+    place = {pair: k for k, pair in enumerate(got)}
+    assert len(place) == len(got) == 23 * 23
+    largest = max(list(block.values()).count(b) for b in block.values())
+    assert all(abs(k - place[b, a]) < 2 * largest for (a, b), k in place.items() if block[a] != block[b])
